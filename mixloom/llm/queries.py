@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mixloom.llm import mixing, packing, tokens
+from mixloom.llm import leaks, mixing, packing, tokens
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark, sf):
+    return leaks.find_leaks(_t(spark, sf, "train_rows"), _t(spark, sf, "eval_items"))
+
+
 def p3_found(spark, sf):
     return mixing.short_sources(p3_shares(spark, sf))
 
@@ -48,6 +52,6 @@ def p6_fill(spark, sf):
     return packing.fill_report(p6_containers(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p3_copies, p4_token_budget, p4_example_tokens, p5_ids, p6_found, p6_containers, p6_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_shares, p3_copies, p4_token_budget, p4_example_tokens, p5_ids, p6_found, p6_containers, p6_fill)}
 
 SQL: dict[str, str] = {}
