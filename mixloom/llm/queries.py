@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mixloom.llm import leaks, mixing, packing, tokens
+from mixloom.llm import leaks, mixing, packing, sentences, tokens
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def p6_fill(spark, sf):
     return packing.fill_report(p6_containers(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_shares, p3_copies, p4_token_budget, p4_example_tokens, p5_ids, p6_found, p6_containers, p6_fill)}
+def p7_found(spark, sf):
+    return sentences.sentence_units(_t(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_shares, p3_copies, p4_example_tokens, p4_token_budget, p5_ids, p6_found, p6_containers, p6_fill, p7_found)}
 
 SQL: dict[str, str] = {}
