@@ -51,8 +51,10 @@ _OPENERS = "\"“«„‚‘([{『「《（【〈‹"
 _PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "」": "「", "』": "『", "》": "《", "）": "（", "】": "【", "〉": "〈", "›": "‹"}
 _OPEN_OF = {v: k for k, v in _PAIRS.items()}
 _MARK = re.compile(r"[()\[\]{}«»„“”\"「」『』《》（）【】〈〉‹›]")
-_STOP = re.compile(r"[.!?…。！？｡।॥؟۔‼⁇⁈⁉．]+")
-_WORD_BEFORE = re.compile(r"[^\W\d_](?:[\w'’-]*(?:\.[\w'’-]+)*)?$")
+#: A full stop before a digit, a small letter or a comma inside a token ends nothing.
+_STOP = re.compile(r"[!?…。！？｡।॥؟۔‼⁇⁈⁉．][.!?…。！？｡।॥؟۔‼⁇⁈⁉．]*|\.++[!?…]*(?![\da-z,;:])")
+_LAST_WORD = re.compile(r"[^\W\d_](?:[\wऀ-ःऺ-ॏ'’-]*(?:\.[\w'’-]+)*)?$")
+_DIGIT = re.compile(r"\d")
 _NEXT_WORD = re.compile(r"[\w][\w'’-]*")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _THAI = re.compile(r"[ก-๎]")
@@ -60,9 +62,9 @@ _URLISH = re.compile(r"://|www\.|[=&@]|/\w|\?\w+=")
 _INITIAL = re.compile(r"[^\W\d_]")
 #: Combining marks belong to words in Indic and Thai scripts.
 _TOKEN = re.compile(r"[^\W\d_][\wऀ-ःऺ-ॏ'’-]*(?:\.[^\W\d_]+)*\.?")
-_CONTINUED = re.compile(r"([^\W\d_][\wऀ-ःऺ-ॏ'’-]*(?:\.[^\W\d_]+)*)\.(?:[,;:)]|[ \xa0]+(?=[a-zß-ÿа-яё]))")
-_MID = re.compile(r"[a-zß-ÿа-яё,;][ \xa0]([A-ZÀ-ÞА-ЯЁ][\w'’-]*)")
-_AFTER_MARK = re.compile(r"[a-zß-ÿа-яё][!?][ \xa0\n]+[¿¡]?([^\W\d_][\w'’-]*)")
+_GOES_ON = re.compile(r"\.(?:[,;:)]|[ \xa0]+[a-zß-ÿа-яё])")
+_MID = re.compile(r" (?<=[a-zß-ÿа-яё,;] )([A-ZÀ-ÞА-ЯЁ][\w'’-]*)")
+_AFTER_MARK = re.compile(r"[!?](?<=[a-zß-ÿа-яё][!?])[ \xa0\n]+[¿¡]?([^\W\d_][\w'’-]*)")
 _FIRST = re.compile(r"\s*[\"“«„¿¡(]*([^\W\d_][\w'’-]*)")
 _PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
 
@@ -74,14 +76,13 @@ class Evidence:
         self.abbreviations = frozenset(abbreviations)
         self.starts, self.mids, self.lowers, self.totals = starts or {}, mids or {}, lowers or {}, totals or {}
 
-    def opens(self, word: str, local: Counter | None = None) -> bool:
+    def opens(self, word: str) -> bool:
         """Whether a word may open a sentence after a doubtful full stop."""
-        if local and local.get(word):
-            return True
         starts, mids = self.starts.get(word, 0), self.mids.get(word, 0)
         if starts:
             return starts >= 0.04 * mids
-        if mids or self.totals.get(word, 0) >= 3:
+        if self.totals.get(word, 0) >= 25:
+            # Often seen, never as the first word of a sentence.
             return False
         return word[:1].isupper()
 
@@ -90,14 +91,20 @@ class Evidence:
         return self.lowers.get(word.lower(), 0) > self.mids.get(word, 0)
 
 
-def observe(text: str, into: Counter) -> None:
-    """Adds a document's unambiguous occurrences to the counts (kind, word)."""
-    for token, n in Counter(_TOKEN.findall(text)).items():
-        if token[-1] == ".":
-            into["d", token[:-1]] += n
-        else:
-            into["n", token] += n
-    for token in _CONTINUED.findall(text):
+def continued(text: str) -> list[str]:
+    """Tokens whose full stop is followed by a comma or a small letter."""
+    found = []
+    for m in _GOES_ON.finditer(text):
+        token = text[max(0, m.start() - 40) : m.start()].rsplit(None, 1)
+        if token and (word := _LAST_WORD.search(token[-1])):
+            found.append(word[0])
+    return found
+
+
+def observe(text: str, into: Counter, tokens: Counter) -> None:
+    """Adds a document's unambiguous occurrences to the counts (kind, word), and its raw tokens."""
+    tokens.update(text.split())
+    for token in continued(text):
         into["c", token] += 1
     for word in _MID.findall(text):
         into["m", word] += 1
@@ -109,6 +116,19 @@ def observe(text: str, into: Counter) -> None:
             into["s", m[1]] += 1
 
 
+def settle(tokens: Counter, into: Counter) -> None:
+    """Turns raw tokens into words with (d) and without (n) a full stop behind them."""
+    for raw, n in tokens.items():
+        if len(raw) > 60:
+            continue
+        for token in _TOKEN.findall(raw):
+            if token[-1] == ".":
+                into["d", token[:-1]] += n
+            else:
+                into["n", token] += n
+    tokens.clear()
+
+
 def corpus_evidence(df: DataFrame, text_col: str = "text", rarest: float = 2e-7) -> Evidence:
     """Counts over all documents, combined in each task before they are shuffled.
 
@@ -123,12 +143,16 @@ def corpus_evidence(df: DataFrame, text_col: str = "text", rarest: float = 2e-7)
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["kind", "word", "n"])
 
         counts: Counter = Counter()
+        tokens: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                observe(text, counts)
+                observe(text, counts, tokens)
+                if len(tokens) > 200_000:
+                    settle(tokens, counts)
             if len(counts) > 300_000:
                 yield table(counts)
                 counts = Counter()
+        settle(tokens, counts)
         yield table(counts)
 
     counted = source.mapInArrow(run, "kind string, word string, n bigint").where("length(word) <= 40").groupBy("kind", "word").agg(F.sum("n").alias("n"))
@@ -203,19 +227,28 @@ class Splitter:
     def __init__(self, text: str, evidence: Evidence):
         self.text, self.evidence = text, evidence
         self._local: tuple | None = None
+        self._openers: frozenset | None = None
+        self.thai = bool(_THAI.search(text))
 
     @property
     def local(self):
-        """The document's own evidence: continued tokens, tokens without stop, sentence openers."""
+        """The document's own tokens that go on after a full stop, and those without one."""
         if self._local is None:
-            openers: Counter = Counter(_AFTER_MARK.findall(self.text))
-            self._local = frozenset(_CONTINUED.findall(self.text)), frozenset(t for t in _TOKEN.findall(self.text) if t[-1] != "."), openers
+            self._local = frozenset(continued(self.text)), frozenset(t for t in _TOKEN.findall(self.text) if t[-1] != ".")
         return self._local
 
+    def opens(self, word: str) -> bool:
+        """Whether a word may open a sentence after a doubtful full stop, by corpus or document."""
+        if self.evidence.opens(word):
+            return True
+        if self._openers is None:
+            self._openers = frozenset(_AFTER_MARK.findall(self.text))
+        return word in self._openers
+
     def kind_of(self, word: str) -> str:
         """title, numeric, inner, ender, initial, abbreviation or '' of a token before a full stop."""
         if len(word) == 1:
-            return "initial" if word.isupper() else "ender"
+            return "initial" if word.isupper() else "title" if _uncased(word) else "ender"
         if word in TITLES:
             return "title"
         if word in ENDERS:
@@ -229,10 +262,10 @@ class Splitter:
             return "ender"
         if word in self.evidence.abbreviations:
             return "abbreviation"
-        continued, bare, _ = self.local
-        if len(word) <= 6 and word in continued and word not in bare and not self.evidence.lowers.get(word.lower(), 0) > 20:
-            return "abbreviation"
-        return ""
+        if len(word) > 6 or self.evidence.lowers.get(word.lower(), 0) > 20 or self.evidence.totals.get(word, 0) > 20:
+            return ""
+        continued, bare = self.local
+        return "abbreviation" if word in continued and word not in bare else ""
 
     def ends(self, p: str, a: int, b: int) -> bool:
         """Whether the marks p[a:b], outside of quotations and brackets, end a sentence."""
@@ -256,7 +289,7 @@ class Splitter:
             if not gap or not head.isupper():
                 return False
             word = _NEXT_WORD.match(p, j)
-            return self.evidence.opens(word[0], self.local[2]) if word else False
+            return self.opens(word[0]) if word else False
         if last == "．":
             return gap
         if last in "!?؟‼⁇⁈⁉" or (b - a > 1 and set(dots) & set("!?")):
@@ -276,8 +309,12 @@ class Splitter:
         # One full stop.
         if a == 0 or p[a - 1].isspace():
             return False
-        before = _WORD_BEFORE.search(p, max(0, a - 40), a)
-        word = before[0] if before else ""
+        token = p[max(0, a - 40) : a].rsplit(None, 1)[-1]
+        if token.isalpha():
+            word = token
+        else:
+            before = _LAST_WORD.search(token)
+            word = before[0] if before and not _DIGIT.search(before[0]) else ""
         if not gap:
             return self._missing_blank(p, a, b, word)
         if head in ",;:)]}":
@@ -308,7 +345,7 @@ class Splitter:
             opens = self.evidence.starts.get(nword, 0) > 0.1 * max(1, self.evidence.lowers.get(nword, 0))
             if not opens and any(c.isupper() for c in nword[1:]):
                 opens = not kind
-            return opens and not number
+            return opens
         if not nword:
             return kind == "" or (kind == "ender")
         if _uncased(nword[0]):
@@ -316,11 +353,15 @@ class Splitter:
                 return True
             return kind == "" and not ("ऀ" <= (word or " ")[-1] <= "ॿ" and len(word) <= 4)
         # A capital letter follows.
+        if len(nword) == 1 and p[k + 1 : k + 2] == "." and (kind == "initial" or word in ("z", "u", "i", "o", "s", "d", "v")):
+            return False
+        if word == "г" and not p[: a - 1].rstrip()[-1:].isdigit():
+            return False
         if number:
             # Ordinals: a word that never opens a sentence is what is counted.
             digits = re.search(r"[\d.,:]+$", p[:a])[0]
             if len(digits) <= 2 and digits.isdigit():
-                return self.evidence.opens(nword, self.local[2])
+                return self.opens(nword)
             return True
         if kind == "":
             if word and "ऀ" <= word[-1] <= "ॿ" and len(word) <= 5:
@@ -329,14 +370,14 @@ class Splitter:
         if kind == "title" or kind == "inner":
             return False
         if kind == "initial":
-            return self.evidence.common(nword) and self.evidence.opens(nword, self.local[2])
+            return self.evidence.common(nword) and self.opens(nword)
         if kind == "numeric":
-            return word.lower() in ("no", "app", "art", "s") and self.evidence.opens(nword) and self.evidence.common(nword) and word.islower()
+            return word.lower() in ("no", "app", "art", "s") and self.opens(nword) and self.evidence.common(nword) and word.islower()
         if kind == "abbreviation":
-            return self.evidence.common(nword) and self.evidence.opens(nword, self.local[2])
+            return self.evidence.common(nword) and self.opens(nword)
         if head in _OPENERS and kind == "ender":
             return True
-        return self.evidence.opens(nword, self.local[2])
+        return self.opens(nword)
 
     def _missing_blank(self, p: str, a: int, b: int, word: str) -> bool:
         """A full stop inside a token: a sentence end whose blank is missing?"""
@@ -364,7 +405,7 @@ class Splitter:
         token = p[max(p.rfind(" ", 0, a), p.rfind("\n", 0, a)) + 1 : b]
         if _URLISH.search(token):
             return False
-        return self.evidence.opens(follow, self.local[2]) or len(follow) == 1
+        return self.opens(follow) or len(follow) == 1
 
     def quote_ends(self, p: str, start: int, a: int, b: int) -> bool:
         """Whether a quotation or bracket p[a..b] that holds a sentence end inside also ends its sentence."""
@@ -438,7 +479,7 @@ class Splitter:
                 continue
             events.append((m.end(), 0, m.start(), m.end()))
         events += [(b + 1, 1, a, b) for a, b in regions]
-        if _THAI.search(p) and len(_THAI.findall(p)) > 0.3 * sum(c.isalpha() for c in p):
+        if self.thai and len(_THAI.findall(p)) > 0.3 * sum(c.isalpha() for c in p):
             inside = [(a, b) for a, b in regions]
             events += [(m.start(), 2, m.start(), m.end()) for m in _THAI_GAP.finditer(p) if not any(a < m.start() < b for a, b in inside)]
         events.sort()
