@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mixloom.llm import leaks, mixing, packing, sentences, tokens
+from mixloom.llm import defects, leaks, mixing, packing, sentences, tokens
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def p1_found(spark, sf):
     return leaks.find_leaks(_t(spark, sf, "train_rows"), _t(spark, sf, "eval_items"))
 
 
+def p2_found(spark, sf):
+    return defects.find_defects(_t(spark, sf, "completions"), _t(spark, sf, "train_rows"))
+
+
 def p3_found(spark, sf):
     return mixing.short_sources(p3_shares(spark, sf))
 
@@ -56,6 +60,6 @@ def p7_found(spark, sf):
     return sentences.sentence_units(_t(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_shares, p3_copies, p4_example_tokens, p4_token_budget, p5_ids, p6_found, p6_containers, p6_fill, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_shares, p3_copies, p4_example_tokens, p4_token_budget, p5_ids, p6_found, p6_containers, p6_fill, p7_found)}
 
 SQL: dict[str, str] = {}
