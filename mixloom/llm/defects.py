@@ -31,6 +31,7 @@ BITS = 18
 SIZE = 1 << BITS
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|_|[^\w\s]")
+_ALNUM = re.compile(r"[^\W_]+")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿가-힯]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,60}>|\[/?[A-Z_]{2,20}\]|```\w*|~~~\w*")
 _THOUGHT = re.compile(r"(?s)^\s*<think(?:ing)?>.*?</think(?:ing)?>")
@@ -55,8 +56,10 @@ _NAMES = {
     "ar": "arabic arabisch arabe árabe арабск 阿拉伯语 アラビア語 अरबी อาหรับ العربية",
 }
 _SCRIPTS = (("ru", re.compile(r"[Ѐ-ӿ]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]")), ("ar", re.compile(r"[؀-ۿ]")), ("ko", re.compile(r"[가-힯]")))
+_OTHER_SCRIPT = re.compile(r"[Ѐ-ӿऀ-ॿ฀-๿؀-ۿ぀-ヿ㐀-鿿가-힯]")
 _KANA, _HAN, _LATIN = re.compile(r"[぀-ヿ]"), re.compile(r"[㐀-鿿]"), re.compile(r"[A-Za-zÀ-ɏ]")
-_LATIN_WORD = re.compile(r"(?<![\w.@/-])[a-zß-ɏ]+(?:['’][a-zß-ɏ]+)?(?![\w@/]|\.\w)|(?<![\w.@/-])[A-ZÀ-Þ][a-zß-ɏ]+(?![\w@/-]|\.\w)")
+_LATIN_WORD = re.compile(r"[a-zß-ɏ]+")
+_PART = re.compile(r"[.!?…]\s+|[。！？।\n]+")
 #: What stands for a missing answer.
 PLACEHOLDERS = (
     "n/a na null none nil nan undefined tbd todo empty blank (empty) [empty] <empty> (blank) [blank] (none) [none] (null) [null] (no response) [no response] <no response> (no answer) [no answer] "
@@ -75,8 +78,24 @@ def _tokens(text: str) -> list[str]:
     return ["0" if t[0].isdigit() else t for t in _TOKEN.findall(text.lower())]
 
 
+_INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Cf", "Cc") and chr(c) not in "\n\t") + "]+")
+
+
 def plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t").strip()
+    if text.isascii():
+        return _INVISIBLE.sub("", text).strip() if not text.isprintable() else text.strip()
+    return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).strip()
+
+
+class _Hashed(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        value = self[token] = zlib.crc32(token.encode("utf-8", "replace"))
+        return value
+
+
+_hashed = _Hashed()
 
 
 class Languages:
@@ -86,7 +105,7 @@ class Languages:
         counts: dict[str, Counter] = {}
         for text, lang in rows:
             if lang in ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr", "sv"):
-                counts.setdefault(lang, Counter()).update(set(w.lower() for w in _LATIN_WORD.findall(text)))
+                counts.setdefault(lang, Counter()).update(set(_LATIN_WORD.findall(text.lower())))
         self.langs = sorted(counts)
         total = {k: sum(c.values()) + 1 for k, c in counts.items()}
         every = Counter()
@@ -102,33 +121,37 @@ class Languages:
     def shares(self, text: str) -> tuple[Counter, int]:
         """Characters of a text by language, sentence by sentence; and how many could be told."""
         found: Counter = Counter()
-        for part in _SENTENCE.split(text):
+        if self.langs and not _OTHER_SCRIPT.search(text):
+            # A text whose words all point to one language needs no look at its sentences.
+            words = [w for w in _LATIN_WORD.findall(text.lower()) if w in self.scores]
+            if words:
+                sums = [sum(column) for column in zip(*map(self.scores.__getitem__, words))]
+                order = sorted(sums)
+                if len(sums) == 1 or order[-1] - order[-2] > 1.2 * len(words) + 2:
+                    found[self.langs[sums.index(order[-1])]] = known = sum(map(len, words))
+                    return found, known
+        for part in _PART.split(text.lower()):
             if not part:
                 continue
-            n = Counter()
-            for lang, script in _SCRIPTS:
-                if part.isascii():
-                    break
-                if k := len(script.findall(part)):
-                    n[lang] = k
+            n: dict[str, int] = {}
             if not part.isascii():
+                for lang, script in _SCRIPTS:
+                    if k := len(script.findall(part)):
+                        n[lang] = k
                 kana, han = len(_KANA.findall(part)), len(_HAN.findall(part))
                 if kana + han:
                     # A character of these scripts says about as much as two letters.
                     n["ja" if kana > 0.15 * (kana + han) else "zh"] = 2 * (kana + han)
-            words = _LATIN_WORD.findall(part)
-            if words and self.langs:
-                sums, known = [0.0] * len(self.langs), 0
-                for w in words:
-                    if s := self.scores.get(w.lower()):
-                        known += len(w)
-                        for i, x in enumerate(s):
-                            sums[i] += x
-                if known >= 2:
-                    order = sorted(range(len(sums)), key=lambda i: -sums[i])
-                    if len(sums) == 1 or sums[order[0]] - sums[order[1]] > 0.7:
-                        n[self.langs[order[0]]] += known if not n else known // 2
-            found.update(n)
+            words = [w for w in _LATIN_WORD.findall(part) if w in self.scores]
+            if words:
+                sums = [sum(column) for column in zip(*map(self.scores.__getitem__, words))]
+                known = sum(map(len, words))
+                order = sorted(sums)
+                if len(sums) == 1 or order[-1] - order[-2] > 0.7:
+                    lang = self.langs[sums.index(order[-1])]
+                    n[lang] = n.get(lang, 0) + (known if not n else known // 2)
+            for lang, k in n.items():
+                found[lang] += k
         return found, sum(found.values())
 
 
@@ -154,8 +177,10 @@ class Features:
         return {d: np.array(x, np.int32) for d, x in zip(DEFECTS, lists)}
 
     def _empty(self, text: str) -> list[int]:
+        if len(text) > 100 and "<" not in text and "[" not in text and _MANY.match(text):
+            return _FULL
         bare = _TAG.sub(" ", text).strip()
-        content = sum(c.isalnum() for c in bare)
+        content = len("".join(_ALNUM.findall(bare)))
         low = bare.lower()
         out = [f"e:n{min(content, 12)}", f"e:len{min(len(bare), 30) // 3}", f"e:tag{bare != text}"]
         if content <= 24:
@@ -168,20 +193,25 @@ class Features:
     def _prompt_parts(self, prompt: str) -> tuple:
         if self._prompt[0] != prompt:
             clean = plain(prompt)
-            tokens = Counter(t for t in self._units(clean))
+            units = self._units(clean)
             found, n = self.languages.shares(clean)
-            self._prompt = (prompt, (tokens, sum(tokens.values()), bool(_ECHO.search(clean)), found, n, _asked(clean)))
+            self._prompt = (prompt, (Counter(units), set(zip(units, units[1:])), len(units), bool(_ECHO.search(clean)), found, n, _asked(clean)))
         return self._prompt[1]
 
     @staticmethod
     def _units(text: str) -> list[str]:
+        if text.isascii() or not _DENSE.search(text):
+            return _ALNUM.findall(text.lower())
         out = []
-        for t in re.findall(r"[^\W_]+", text.lower()):
+        for t in _ALNUM.findall(text.lower()):
             out += list(t) if _DENSE.search(t) else [t]
         return out
 
     def _copy(self, prompt: str, text: str) -> list[int]:
-        tokens, n, echo, *_ = self._prompt_parts(prompt)
+        tokens, ppairs, n, echo, *_ = self._prompt_parts(prompt)
+        if len(text) > 3 * len(prompt) + 60:
+            # Most of it can't be the prompt.
+            return [slot("c:long")]
         units = self._units(_TAG.sub(" ", text))
         if not units or not n:
             return [slot("c:none")]
@@ -189,31 +219,36 @@ class Features:
         precision = sum(k for t, k in mine.items() if t in tokens) / len(units)
         recall = sum(min(k, mine[t]) for t, k in tokens.items()) / n
         pairs = set(zip(units, units[1:]))
-        order = list(tokens.elements())
-        seq = self._units(plain(prompt))
-        ppairs = set(zip(seq, seq[1:]))
         both = len(pairs & ppairs) / max(1, len(pairs)) if len(units) > 1 else 0
         back = len(pairs & ppairs) / max(1, len(ppairs))
-        del order
         ratio = min(4, len(units) / n)
         p, r, b, k = int(precision * 10), int(recall * 10), int(both * 10), int(back * 10)
         out = [f"c:p{p}", f"c:r{r}", f"c:b{b}", f"c:k{k}", f"c:pr{p}.{r}", f"c:bk{b}.{k}", f"c:min{min(p, r)}", f"c:minb{min(b, k)}", f"c:ratio{int(ratio * 3)}", f"c:echo{echo}", f"c:echomin{echo}{min(p, r)}", f"c:n{min(len(units), 10)}"]
         return [slot(x) for x in out]
 
-    def _refusal(self, text: str) -> list[int]:
+    def _refusal(self, text: str) -> np.ndarray:
         tokens = _tokens(text.replace("’", "'"))
-        out = {f"r:{t}" for t in tokens}
-        out |= {f"r:{a} {b}" for a, b in zip(tokens, tokens[1:])}
-        out |= {f"r:{a} {b} {c}" for a, b, c in zip(tokens, tokens[1:], tokens[2:])}
-        if _DENSE.search(text):
-            for n in (2, 3, 4):
-                out |= {f"r:{text[i : i + n]}" for i in range(len(text) - n + 1)}
-        length = int(math.log2(len(text) + 1))
-        return [slot(f"r:len{length}"), *(slot(x) for x in out)]
+        h = np.fromiter(map(_hashed.__getitem__, tokens), np.int64, len(tokens))
+        parts = [h]
+        if len(h) > 1:
+            two = (h[:-1] * 1_000_003 + h[1:]) & 0x7FFFFFFFFFFF
+            parts.append(two)
+            if len(h) > 2:
+                parts.append((two[:-1] * 1_000_003 + h[2:]) & 0x7FFFFFFFFFFF)
+        if not text.isascii() and _DENSE.search(text):
+            c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 0x1000000
+            for _ in range(3):
+                if len(c) < 2:
+                    break
+                c = (c[:-1] * 1_000_003 + np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[-len(c) + 1 :]) & 0x7FFFFFFFFFFF
+                parts.append(c)
+        every = np.concatenate(parts) if parts else h
+        every = ((every ^ (every >> 17)) * 0x9E3779B1 >> 11) & (SIZE - 1)
+        return np.append(every, slot(f"r:len{int(math.log2(len(text) + 1))}"))
 
     def _language(self, prompt: str, text: str) -> list[int]:
         *_, found, n, asked = self._prompt_parts(prompt)
-        mine, told = self.languages.shares(_code_free(text))
+        mine, told = self.languages.shares(_code_free(text) if "`" in text else text)
         if told < 6 or n < 2:
             return [slot("l:unknown")]
         top = {lang for lang, k in found.items() if k >= 0.3 * n}
@@ -227,23 +262,28 @@ class Features:
     def _truncated(self, raw: str, text: str) -> list[int]:
         if not text:
             return [slot("t:none")]
-        last_line = text.rsplit("\n", 1)[-1].strip()
-        sentence = _SENTENCE.split(text)[-1] or last_line
-        tokens = _tokens(text[-400:])
-        shaped = [t if not t[0].isupper() else "X" for t in re.findall(r"[^\W\d_]+|\d+|_|[^\w\s]", text[-400:])]
-        shaped = ["0" if t[0].isdigit() else t for t in shaped]
-        ends = bool(_TERMINAL.search(text))
+        ends = bool(_TERMINAL.search(text[-12:]))
         fences = text.count("```") % 2 == 1
+        pieces = _TOKEN.findall(text[-160:])
+        tokens = ["0" if t[0].isdigit() else t.lower() for t in pieces[-6:]]
         end = text[-1]
         kind = "L" if end.isalpha() else "D" if end.isdigit() else end
+        out = [f"t:end{kind}", f"t:ends{ends}", f"t:fence{fences}"]
+        for k in range(1, min(7, len(tokens) + 1)):
+            out.append(f"t:w{k}:" + " ".join(tokens[-k:]))
+        if ends and not fences and text[0] not in "{[":
+            # A closed end needs no further look.
+            return [slot(x) for x in out]
+        last_line = text.rsplit("\n", 1)[-1].strip()
+        sentence = _SENTENCE.split(text[-400:])[-1] or last_line
+        shaped = ["0" if t[0].isdigit() else "X" if t[0].isupper() else t for t in pieces[-6:]]
         words = re.findall(r"[^\W\d_]+", text[-60:])
         last = words[-1].lower() if words and text.endswith(words[-1]) else ""
         seen = "-" if not last else "dense" if _DENSE.search(last) else str(last in self.known)
         item = bool(re.match(r"\s*(?:[-*•+]|\d+[.)])\s", last_line))
-        items = len(re.findall(r"(?m)^\s*(?:[-*•+]|\d+[.)])\s", text))
-        tail = sentence if not ends else ""
-        opened = sum(sentence.count(c) for c in "([{“«„「『《（【") - sum(sentence.count(c) for c in ")]}”»「」』》）】“") if tail else 0
-        quotes = sentence.count('"') % 2 if tail else 0
+        items = len(re.findall(r"(?m)^\s*(?:[-*•+]|\d+[.)])\s", text)) if item else 0
+        opened = sum(sentence.count(c) for c in "([{“«„「『《（【") - sum(sentence.count(c) for c in ")]}”»「」』》）】“") if not ends else 0
+        quotes = sentence.count('"') % 2 if not ends else 0
         struct = "none"
         if text[:1] in "{[":
             try:
@@ -251,22 +291,23 @@ class Features:
                 struct = "json"
             except ValueError:
                 struct = "broken"
-        n = len(_tokens(sentence))
-        first = " ".join(_tokens(sentence)[:2])
-        out = [f"t:end{kind}", f"t:ends{ends}", f"t:fence{fences}", f"t:seen{seen}", f"t:seenends{seen}{ends}", f"t:item{item}{min(items, 3)}{ends}", f"t:open{opened > 0}", f"t:quote{quotes}{ends}", f"t:struct{struct}", f"t:n{min(n, 20)}{ends}", f"t:first{first}{ends}{min(n, 16) // 2}", f"t:only{len(_SENTENCE.split(text)) == 1}{ends}{min(n, 8)}", f"t:closed{text.endswith('```')}{fences}", f"t:space{raw != text}"]
-        for k in range(1, 7):
-            if len(tokens) >= k:
-                out.append(f"t:w{k}:" + " ".join(tokens[-k:]))
-            if len(shaped) >= k:
-                out.append(f"t:s{k}:" + " ".join(shaped[-k:]))
-        for k in range(1, 9):
-            out.append(f"t:c{k}:" + re.sub(r"\d", "0", text[-k:]))
-        out.append(f"t:whole{ends}:" + " ".join(_tokens(re.sub(r"^\s*(?:[-*•+]|\d+[.)])\s+", "- ", last_line)) if len(last_line) < 120 else []))
-        line = " ".join(_tokens(last_line)[:3])
-        out.append(f"t:line{line}{ends}{item}")
+        inside = _tokens(sentence)
+        n = len(inside)
+        first = " ".join(inside[:2])
+        out += [f"t:seen{seen}", f"t:seenends{seen}{ends}", f"t:item{item}{min(items, 3)}{ends}", f"t:open{opened > 0}", f"t:quote{quotes}{ends}", f"t:struct{struct}", f"t:n{min(n, 20)}{ends}", f"t:first{first}{ends}{min(n, 16) // 2}", f"t:only{not _SENTENCE.search(text)}{ends}{min(n, 8)}", f"t:closed{text.endswith('```')}{fences}", f"t:space{raw != text}"]
+        for k in range(1, min(7, len(shaped) + 1)):
+            out.append(f"t:s{k}:" + " ".join(shaped[-k:]))
+        tail = re.sub(r"\d", "0", text[-8:])
+        out += [f"t:c{k}:" + tail[-k:] for k in range(1, 9)]
+        line = _tokens(last_line[:120])
+        bare = ["-", *line[1:]] if item else line
+        out.append(f"t:whole{ends}:" + " ".join(bare) if len(last_line) < 120 else "t:whole")
+        out.append(f"t:line{' '.join(line[:3])}{ends}{item}")
         return [slot(x) for x in out]
 
 
+_MANY = re.compile(r"(?s)(?:[^\w]*[^\W_]){25}")
+_FULL = [slot("e:n12"), slot("e:len10"), slot("e:tagFalse")]
 _HOLDERS = frozenset(re.findall(r"\([^)]*\)|\[[^\]]*\]|\{+[^}]*\}+|<[^>]*>|（[^）]*）|\S+", PLACEHOLDERS)) | {"no response", "no answer"}
 _HOLDERS_INNER = frozenset(x.strip("\"'`*_.-–—:;!?()[]{}<>（）【】 \n\t") for x in _HOLDERS if x not in ("no", "response", "none", "na", "nan", "无")) | {"n/a", "null"}
 
@@ -524,9 +565,11 @@ def find_defects(completions: DataFrame, labelled: DataFrame) -> DataFrame:
     """
     spark = completions.sparkSession
     source = completions.where("gen_id is not null and outputs is not null").select("gen_id", "text", F.transform("outputs", lambda o: o["text"]).alias("outputs"))
-    sample = [(r["text"] or "", list(r["outputs"])) for r in source.dropDuplicates(["gen_id"]).orderBy(F.xxhash64("gen_id"), "gen_id").limit(SAMPLE_PROMPTS).collect()]
+    # Repeats have the same hash, so they lie side by side and are told apart after the top-n.
+    drawn = source.orderBy(F.xxhash64("gen_id"), "gen_id").limit(SAMPLE_PROMPTS + SAMPLE_PROMPTS // 10).collect()
+    sample = [(r["text"] or "", list(r["outputs"])) for r in {r["gen_id"]: r for r in reversed(drawn)}.values()][-SAMPLE_PROMPTS:]
     known = labelled.where("row_id is not null and messages is not null").select("row_id", lang_key(F.col("lang")).alias("lang"), F.array_join(F.transform("messages", lambda m: m["content"]), "\n").alias("text"))
-    known = [(r["text"], r["lang"]) for r in known.where("lang != 'und' and text != ''").dropDuplicates(["row_id"]).orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE_LABELLED).collect()]
+    known = [(r["text"], r["lang"]) for r in known.where("lang != 'und' and text != ''").orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE_LABELLED).collect()]
     fitted = spark.sparkContext.broadcast(train(sample, known))
     kind = dict(source.dtypes)["gen_id"]
 
