@@ -39,7 +39,7 @@ DENSE = 8
 _CF = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Cf", "Cc") and chr(c) not in "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85") + "]+")
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _ESCAPE = re.compile(r"\\[nrt]")
-_INNER = re.compile(r"(?<=\d)[.,](?=\d)|(?<=[^\W\d_])['’](?=[^\W\d_])|_")
+_INNER = re.compile(r"[.,](?<=\d[.,])(?=\d)|['’](?<=[^\W\d_]['’])(?=[^\W\d_])|_")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _HAN = re.compile(r"[⺀-⿟々-〇぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
@@ -169,18 +169,19 @@ def message_hits(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
     def run(batches):
         known = shared.value
         for batch in batches:
+            # The words of all messages of a batch make one sequence, whose shingles are looked up
+            # at once; those that cross from one message into the next are left out.
             out: list[tuple] = []
+            where, tokens, ends = [], [], [0]
             for key, contents in zip(batch.column("row_id").to_pylist(), batch.column("contents").to_pylist()):
                 for no, text in enumerate(contents):
                     if not text or len(text) < CHAR_RUN:
                         continue
                     plain = _plain(text)
                     words = words_of(plain)
-                    h = word_shingles(words)
-                    at = np.flatnonzero(known.has(h))
-                    if len(at):
-                        close = _within(at, SURVIVE, longest)
-                        out.append((key, no, False, " ".join(words) if close else None, h[at].tolist(), at.tolist()))
+                    where.append((key, no))
+                    tokens += words
+                    ends.append(len(tokens))
                     if is_dense(plain):
                         chars = "".join(words)
                         h = char_shingles(chars)
@@ -188,6 +189,18 @@ def message_hits(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
                         if len(at):
                             close = _within(at, CHAR_RUN - CHAR_SHINGLE + 1, CHAR_RUN)
                             out.append((key, no, True, chars if close else None, h[at].tolist(), at.tolist()))
+            h = word_shingles(tokens)
+            hits = np.flatnonzero(known.has(h))
+            bounds = np.array(ends)
+            of = np.searchsorted(bounds, hits, side="right") - 1
+            inside = hits + WORD_SHINGLE <= bounds[of + 1] if len(hits) else np.zeros(0, bool)
+            hits, of = hits[inside], of[inside]
+            for group in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(of)) + 1) if len(hits) else ():
+                m = of[group[0]]
+                at = hits[group] - bounds[m]
+                close = _within(at, SURVIVE, longest)
+                words = tokens[bounds[m] : bounds[m + 1]]
+                out.append((*where[m], False, " ".join(words) if close else None, h[hits[group]].tolist(), at.tolist()))
             c = list(zip(*out)) or [()] * 6
             kinds = (batch.schema.field("row_id").type, pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["row_id", "message_no", "dense", "tokens", "hashes", "places"])
