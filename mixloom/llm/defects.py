@@ -165,7 +165,7 @@ class Features:
 
     def __init__(self, languages: Languages, known: frozenset[str]):
         self.languages, self.known = languages, known
-        self._prompt: tuple[str, tuple] = ("", ())
+        self._prompt: tuple[str | None, tuple] = (None, ())
 
     def of(self, prompt: str | None, text: str | None) -> dict[str, np.ndarray]:
         raw = text or ""
