@@ -32,6 +32,8 @@ INNER = frozenset(
     "vs e.g i.e cf Cf viz esp incl excl approx al resp bzw bspw z.B d.h u.a vgl Vgl inkl exkl ggf evtl sog insb ex p.ex ej p.ej env ca Abs Nr тыс млн млрд руб напр".split()
 )
 ENDERS = frozenset("etc Inc Ltd Co Corp Bros Jr U.S U.K U.N E.U D.C a.m p.m A.M P.M al usw usf ff Min min Std sec hrs hr kg cm EE UU Ud Uds Vd ETC т.д т.п г гг др пр тыс al".split())
+#: Months that follow an ordinal number.
+MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember januar februar mars maj juni juli august".split())
 #: speakers' labels, besides words that label several lines of a document.
 LABELS = frozenset(
     "user assistant system human ai bot question answer q a tool moderator interviewer speaker nutzer nutzerin benutzer assistent assistentin mensch frage antwort "
@@ -361,6 +363,8 @@ class Splitter:
             # Ordinals: a word that never opens a sentence is what is counted.
             digits = re.search(r"[\d.,:]+$", p[:a])[0]
             if len(digits) <= 2 and digits.isdigit():
+                if nword in MONTHS:
+                    return False
                 return self.opens(nword)
             return True
         if kind == "":

@@ -87,8 +87,8 @@ def token_budget(rows: DataFrame, info: DataFrame, vocabulary: str | None = None
     """Totals by dataset x language x domain, by each alone, and overall.
 
     ``level`` names the grouping; columns that aren't grouped by are null. A missing dataset is
-    ``(none)``, a dataset without domain has the domain ``(none)``. An empty table gives one
-    ``all`` row of zeros.
+    ``(none)``, a dataset without domain has the domain ``(none)``. An empty table gives
+    no row.
     """
     cells = example_tokens(rows, vocabulary).groupBy("dataset", "lang").agg(
         F.count(F.lit(1)).alias("n_examples"), F.sum("n_messages").alias("n_messages"), F.sum("n_tokens").alias("n_tokens")
