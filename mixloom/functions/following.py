@@ -182,7 +182,7 @@ def lowercase(x: Column) -> Column:
 
 
 def capital_words(x: Column, n: int, quantifier: str) -> Column:
-    return _quantified(count_matches(x, r"\b[A-Z]+\b"), quantifier, n, max(round(n * 0.1), 1))
+    return _quantified(count_matches(x, r"(?U)\b[A-Z]+\b"), quantifier, n, max(round(n * 0.1), 1))
 
 
 def ends_with(x: Column, phrase: str) -> Column:
@@ -393,7 +393,7 @@ def keyword_position(x: Column, keyword: str, sentence: int, word: int) -> Colum
 
 
 def lowercase_counting(x: Column, n: int) -> Column:
-    return count_matches(x, r"\b[a-z]+\b") <= n
+    return count_matches(x, r"(?U)\b[a-z]+\b") <= n
 
 
 def counting_composition(x: Column, n_sentences: int, n_words: int) -> Column:

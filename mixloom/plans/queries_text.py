@@ -372,7 +372,7 @@ def bools(df, key, **columns):
     f"""select row_id, contains(lower(x), 'the') and contains(lower(x), 'loss') as keywords, not (contains(lower(x), 'shard') or contains(lower(x), 'mask')) as forbidden,
 length(x) - length(replace(x, 'e', '')) = 12 as letters, len({words_sql('x')}) >= 20 as words_least, len({words_sql('x')}) <= 40 as words_most, abs(len({words_sql('x')}) - 30) <= 3 as words_around,
 len(regexp_extract_all(x, '\\[(.*?)\\]')) >= 1 as placeholders, regexp_matches(x, '<<(.*?)>>') as title, contains(x, 'yes') or contains(x, 'no') as choice, len(regexp_extract_all(x, '\\*(.*?)\\*')) >= 1 as highlighted,
-x = upper(x) as upper, x = lower(x) as lower, len(regexp_extract_all(x, '\\b[A-Z]+\\b')) >= 2 as capitals, suffix(x, '.') as ends, prefix(x, '"') and suffix(x, '"') as quoted, not contains(x, ',') as no_commas,
+x = upper(x) as upper, x = lower(x) as lower, len(list_filter(regexp_extract_all(x, '{W}+'), lambda w: regexp_matches(w, '^[A-Z]+$'))) >= 2 as capitals, suffix(x, '.') as ends, prefix(x, '"') and suffix(x, '"') as quoted, not contains(x, ',') as no_commas,
 prefix(x, 'The') as repeats, instr(x, 'P.S.') > 0 and length({strip_sql("substr(x, instr(x, 'P.S.') + 4)")}) > 0 as postscript,
 len(list_filter(string_split(x, chr(10)), lambda s: prefix({strip_sql('s')}, '*') or prefix({strip_sql('s')}, '-'))) = 3 as bullets,
 len(string_split(x, '******')) = 2 as two, len(string_split(x, chr(10) || chr(10))) = 2 and prefix(lower(trim(string_split(x, chr(10) || chr(10))[2])), 'the') as paragraph_starts from {STIM}"""
@@ -392,7 +392,7 @@ def instruction_functions(spark, sf):
 length(lower(x)) - length(replace(lower(x), 'a', '')) < 10 as letter, len(regexp_extract_all(x, '{W}+')) >= 20 as words, len(regexp_extract_all(x, '\\[(.*?)\\]')) >= 1 as placeholders,
 len(list_filter(regexp_extract_all(x, '<<([^\\n]+)>>', 1), lambda t: {strip_sql("t")} <> '')) > 0 as title, not contains(x, ',') as no_comma, not contains(x, '.') as no_dot, not contains(x, '!') as no_exclamation,
 len(regexp_extract_all(x, '(?i)the')) = 1 as once, not contains(x, ' the ') as exclude, len(list_filter({words_sql('x')}, lambda w: w = reverse(w))) > 0 as palindrome,
-len(regexp_extract_all(x, '\\b[a-z]+\\b')) <= 30 as lowercase, len(regexp_extract_all(x, '[a-zA-Z]')) >= 100 as letters, len(regexp_extract_all(x, '{W}+')) = len(list_distinct(regexp_extract_all(x, '{W}+'))) as distinct_words,
+len(list_filter(regexp_extract_all(x, '{W}+'), lambda w: regexp_matches(w, '^[a-z]+$'))) <= 30 as lowercase, len(regexp_extract_all(x, '[a-zA-Z]')) >= 100 as letters, len(regexp_extract_all(x, '{W}+')) = len(list_distinct(regexp_extract_all(x, '{W}+'))) as distinct_words,
 len(list_filter(list_transform(string_split(x, chr(10) || chr(10)), lambda p: {strip_sql('p')}), lambda p: p <> '')) = 2 as paragraphs2,
 len({words_sql('x')}) > 0 and len(list_filter({words_sql('x')}, lambda w: not (prefix(w, '[') and suffix(w, ']')))) = 0 or len({words_sql('x')}) = 0 as brackets, coalesce(lower({words_sql('x')}[1]) = 'the', false) as first_word,
 length({strip_sql('x')}) > 1 and prefix({strip_sql('x')}, '"') and suffix({strip_sql('x')}, '"') as quotation, regexp_matches(lower(x), '(?m)\\s*p\\.\\s?s\\..*$') as postscript from {STIM}"""
@@ -436,7 +436,7 @@ def repeated_lines(spark, sf):
 
 
 @q(
-    f"""with w as (select doc_id, {words_sql('lower(text)')} as t from documents where text is not null),
+    f"""with w as (select doc_id, {words_sql("lower(replace(text, 'İ', 'i̇'))")} as t from documents where text is not null),
 g as (select doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: {{'p': i - 1, 'g': t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]}})) as u from w where len(t) >= 3)
 select doc_id, u.g as ngram, count(*) as n, min(u.p)::bigint as first from g group by 1, 2 having count(*) >= 2"""
 )
