@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from mixloom.functions.text import ngrams
 
 
+#: Query vectors that are broadcast together.
+AT_ONCE = 50_000
+
+
 def analyze(x: Column) -> Column:
     """Lower-case tokens between blanks, line breaks, backslashes and common marks."""
     return F.filter(F.split(F.lower(x), r"[ ,.?!:;()\"\-]|\n|\\"), lambda t: t != "")
@@ -69,8 +73,15 @@ def nearest(docs: DataFrame, doc_key: str, doc_vector: str, queries: DataFrame,
     kinds = dict(docs.dtypes), dict(queries.dtypes)
     rows = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull())
     n = rows.count()
-    if n > 100_000:
-        raise ValueError("the query side is limited to 100,000 vectors; pass it in parts")
+    if n > AT_ONCE:
+        # Too many for one broadcast: the queries go in parts, each against all documents.
+        parts = -(-n // AT_ONCE)
+        out = None
+        for i in range(parts):
+            part = queries.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == i)
+            found = nearest(docs, doc_key, doc_vector, part, query_key, query_vector, k, block)
+            out = found if out is None else out.unionByName(found)
+        return out
     local = rows.toPandas()
     keys = list(local[query_key])
     q = np.stack([np.asarray(v, np.float64) for v in local[query_vector]]) if n else np.zeros((0, 1))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixloom.session import cut
+
 
 def seeded(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(str(seed))))
@@ -53,12 +55,14 @@ def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None, name
 def dense_index(df: DataFrame, order: list[Column], name: str = "index", first: int = 0) -> DataFrame:
     """Dense numbers over a total order without one task seeing all rows: rows are sorted into
     range partitions, and each partition starts after the counts of those before it."""
-    parts = df.select("*", F.struct(*order).alias("_o"))
-    parts = parts.repartitionByRange(max(1, df.sparkSession.sparkContext.defaultParallelism), "_o").withColumn("_p", F.spark_partition_id())
+    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    # Written once: range bounds are sampled, so a second run could cut the partitions elsewhere.
+    parts = cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_off", F.lit(0)).alias("_off"))
-    inner = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("_o")))
-    return inner.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_off") + F.col("_k") - 1 + first).drop("_p", "_o", "_k", "_off")
+    inner = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    # One row a partition.
+    return inner.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_off") + F.col("_k") - 1 + first).drop("_p", "_k", "_off")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
