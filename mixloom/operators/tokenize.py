@@ -119,7 +119,9 @@ def sft(messages: Column, name: str = "tagged", tokenizer: Callable = hashed_tok
 
 
 def masked_prefix(ids: Column, n: Column) -> Column:
-    return F.transform(ids, lambda t, i: F.when(i < n, IGNORE).otherwise(t))
+    # No lambda: what ``n`` stands for would be computed anew for each token.
+    k = F.least(n, F.size(ids))
+    return F.concat(F.array_repeat(F.lit(IGNORE), k), F.slice(ids, k + 1, F.size(ids)))
 
 
 def masked_spans(messages: Column, name: str = "tagged", tokenizer: Callable = hashed_tokens, limit: int = 4096, last_only: bool = False) -> Column:
@@ -136,7 +138,17 @@ def masked_spans(messages: Column, name: str = "tagged", tokenizer: Callable = h
     spans = F.filter(
         F.transform(messages, lambda m, i: F.struct(learned(m, i).alias("keep"), upto(i, m["role"] == "assistant").alias("a"), upto(i + 1, nexts(i) & (m["role"] != "assistant")).alias("b"))), lambda s: s["keep"]
     )
-    labels = F.transform(ids, lambda t, j: F.when(F.exists(spans, lambda s: (j >= s["a"]) & (j < s["b"])), t).otherwise(IGNORE))
+    # Span by span, so that the ids are looked at once a message and not once a token.
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+
+    def step(state, s):
+        a = F.greatest(state["at"], s["a"])
+        size = F.greatest(F.lit(0), s["b"] - a)
+        return F.struct(F.concat(state["out"], F.array_repeat(F.lit(IGNORE), a - state["at"]), F.slice(ids, a + 1, size)).alias("out"), (a + size).alias("at"))
+
+    known = F.aggregate(spans, start, step, lambda state: state["out"])
+    total = F.size(ids)
+    labels = F.slice(F.concat(known, F.array_repeat(F.lit(IGNORE), F.greatest(F.lit(0), total - F.size(known)))), F.lit(1), total)
     return F.struct(ids.alias("input_ids"), labels.alias("labels"))
 
 

@@ -27,7 +27,11 @@ def register(name: str, kind: str):
 
 @register("sft_tokenize", "map")
 def _sft(df, template="tagged", mask_prompt=False, **_):
-    return df.withColumn("_t", tokenize.sft(F.col("messages"), template, mask_prompt=mask_prompt)).select("*", "_t.input_ids", "_t.attention_mask", "_t.labels", F.size("_t.prompt_ids").alias("prompt_tokens")).drop("_t")
+    # Step by step: ids that several columns need are computed once a row.
+    df = df.withColumn("_text", tokenize.template(template, F.col("messages"))).withColumn("_asked", tokenize.template(template, tokenize.all_but_last(F.col("messages")), generation=True))
+    df = df.withColumn("input_ids", tokenize.hashed_tokens(F.col("_text"))).withColumn("prompt_tokens", F.size(tokenize.hashed_tokens(F.col("_asked"))))
+    labels = tokenize.masked_prefix(F.col("input_ids"), F.col("prompt_tokens")) if mask_prompt else F.col("input_ids")
+    return df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))).withColumn("labels", labels).drop("_text", "_asked")
 
 
 @register("sft_tokenize_last_turn", "map")
