@@ -23,7 +23,7 @@ IDENTITY = [
     *[rf"\b{verb}\s+by\s+[^.!?]{{0,100}}?\b" + _P + _REST for verb in ("trained", "developed", "created", "made")],
     r"\bagainst\s+" + _P + r"(?:'s|'s)?\s+(?:use-case\s+)?(?:policy|policies|guidelines|terms)[^.!?]{0,100}[.!?]",
     r"\b" + _P + r"(?:'s|'s)\s+(?:policy|policies|guidelines|terms|use-case)[^.!?]{0,100}[.!?]",
-    *[rf"[^.!?]{{0,250}}?\b{name}\b[^.!?]{{0,100}}[.!?]" for name in ("DeepSeek", "Qwen", r"Alibaba\s+Qwen", r"Alibaba\s+Cloud")],
+    *[rf"\b{name}\b[^.!?]{{0,100}}[.!?]" for name in ("DeepSeek", "Qwen", r"Alibaba\s+Qwen", r"Alibaba\s+Cloud")],
 ]
 #: Keywords of other assistants; the point of a version is any character.
 KEYWORDS = "openai|open ai|chatgpt|chat gpt|gpt-3|gpt3|gpt 3|gpt-4|gpt4|gpt 4|gpt-3.5|gpt3.5|gpt 3.5|bingchat|bing chat|laion|open assistant|openassistant"
@@ -88,8 +88,10 @@ def cutoff_mentions(messages: Column) -> Column:
 def tells_provider(messages: Column, user_turns: bool = False) -> Column:
     """Whether an assistant's (or also a user's) message is null or tells a provider."""
     pattern = "(?i)(?:" + "|".join(IDENTITY) + ")"
+    # Every pattern holds a name: texts without one need no closer look.
+    named = "(?i)" + "|".join([*PROVIDERS, "Alibaba"])
     roles = ["assistant", "user"] if user_turns else ["assistant"]
-    return F.coalesce(F.exists(messages, lambda m: m["role"].isin(*roles) & (m["content"].isNull() | F.coalesce(m["content"].rlike(pattern), F.lit(False)))), F.lit(False))
+    return F.coalesce(F.exists(messages, lambda m: m["role"].isin(*roles) & (m["content"].isNull() | F.coalesce(m["content"].rlike(named) & m["content"].rlike(pattern), F.lit(False)))), F.lit(False))
 
 
 def names_assistant(messages: Column) -> Column:
