@@ -381,6 +381,9 @@ class Splitter:
             return self.evidence.common(nword) and self.opens(nword)
         if head in _OPENERS and kind == "ender":
             return True
+        if word in ("etc", "al", "a.m", "p.m", "A.M", "P.M") or _DIGIT.search(nword):
+            # These aren't followed by a name they belong to; a name with digits is no part of one.
+            return True
         return self.opens(nword)
 
     def _missing_blank(self, p: str, a: int, b: int, word: str) -> bool:
