@@ -98,6 +98,15 @@ class _Hashed(dict):
 _hashed = _Hashed()
 
 
+_ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+(?=\S)")
+
+
+def _item_key(line: str) -> str:
+    """A list item without its mark, with digits alike; empty if the line is none."""
+    m = _ITEM.match(line)
+    return " ".join(_tokens(line[m.end() :])) if m else ""
+
+
 class Languages:
     """Multinomial model of words of Latin scripts; other scripts tell the language themselves."""
 
@@ -165,6 +174,7 @@ class Features:
 
     def __init__(self, languages: Languages, known: frozenset[str]):
         self.languages, self.known = languages, known
+        self.items: frozenset[str] = frozenset()
         self._prompt: tuple[str | None, tuple] = (None, ())
 
     def of(self, prompt: str | None, text: str | None) -> dict[str, np.ndarray]:
@@ -467,6 +477,9 @@ def train(sample: list[tuple[str, list[str | None]]], labelled: list[tuple[str,
         whole.update(w.lower() for w in set(re.findall(r"[^\W\d_]+(?=[^\w])", t)))
     features = Features(languages, frozenset(w for w, n in whole.items() if n >= 2))
     natural = [(p, t) for p, outputs in sample for t in outputs]
+    # List items that another line follows are whole.
+    followed = Counter(k for _, t in natural if t for line in t.rstrip().split("\n")[:-1] if (k := _item_key(line)))
+    features.items = frozenset(k for k, n in followed.items() if n >= 2)
     by_lang: dict[str, list[str]] = {}
     for p, t in natural:
         if t and len(t) > 30:
@@ -550,6 +563,9 @@ def classify(features: Features, models: dict[str, Linear], pairs: list[tuple[st
         return []
     feats = [features.of(p, t) for p, t in pairs]
     scores = np.stack([models[d].margins([f[d] for f in feats]) - math.log(models[d].threshold / (1 - models[d].threshold)) if models[d].threshold < 1 else np.full(len(pairs), -1.0) for d in DEFECTS])
+    for i in np.flatnonzero(scores[4] >= 0):
+        if _item_key(plain(pairs[i][1] or "").rsplit("\n", 1)[-1]) in features.items:
+            scores[4, i] = -1.0
     best = scores.argmax(axis=0)
     return [("empty" if scores[0, i] >= 0 else DEFECTS[best[i]]) if scores[:, i].max() >= 0 else None for i in range(len(pairs))]
 
