@@ -11,6 +11,12 @@ def with_group_size(left: DataFrame, right: DataFrame, key: str, name: str = "nu
     return left.join(counted, key)
 
 
+def row_group_size(left: DataFrame, right: DataFrame, key: str, name: str = "num_outputs") -> DataFrame:
+    """One row a left row that has a match, with the number of its matches. The matches themselves are
+    the right rows of the same key: pairs would grow by the square of a hot key."""
+    return left.join(right.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key)
+
+
 def lookup_last(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
     """Inner join with the last of the right rows a key; unmatched left rows are left out."""
     columns = [c for c in right.columns if c != key]

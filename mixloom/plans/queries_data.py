@@ -124,6 +124,20 @@ def outputs_per_prompt(spark, sf):
     return joins.with_group_size(t, c, "prompt_id").select("row_id", "gen_id", "num_outputs")
 
 
+# outputs_per_prompt leaves out the hot prompt, as its SQL does. These two hold every prompt's rows and
+# outputs; joined by prompt_id they are the pairs.
+@q("select t.row_id, t.prompt_id, c.num_outputs from (select distinct row_id, prompt_id from train_rows) t join (select prompt_id, count(distinct gen_id) + max((gen_id is null)::int) as num_outputs from completions group by 1) c using (prompt_id)")
+def outputs_per_row(spark, sf):
+    t = read(spark, sf, "train_rows").select("row_id", "prompt_id").distinct()
+    c = read(spark, sf, "completions").select("gen_id", "prompt_id").distinct()
+    return joins.row_group_size(t, c, "prompt_id").select("row_id", "prompt_id", "num_outputs")
+
+
+@q("select distinct prompt_id, gen_id from completions where prompt_id is not null")
+def prompt_outputs(spark, sf):
+    return read(spark, sf, "completions").where("prompt_id is not null").select("prompt_id", "gen_id").distinct()
+
+
 @q("with l as (select prompt_id, arg_max(model, gen_id) as model from completions where model is not null group by 1) select t.row_id, l.model from (select distinct row_id, prompt_id from train_rows) t join l using (prompt_id)")
 def latest_model(spark, sf):
     t = read(spark, sf, "train_rows").select("row_id", "prompt_id").distinct()
