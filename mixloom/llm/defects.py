@@ -56,7 +56,6 @@ _NAMES = {
     "ar": "arabic arabisch arabe árabe арабск 阿拉伯语 アラビア語 अरबी อาหรับ العربية",
 }
 _SCRIPTS = (("ru", re.compile(r"[Ѐ-ӿ]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]")), ("ar", re.compile(r"[؀-ۿ]")), ("ko", re.compile(r"[가-힯]")))
-_OTHER_SCRIPT = re.compile(r"[Ѐ-ӿऀ-ॿ฀-๿؀-ۿ぀-ヿ㐀-鿿가-힯]")
 _KANA, _HAN, _LATIN = re.compile(r"[぀-ヿ]"), re.compile(r"[㐀-鿿]"), re.compile(r"[A-Za-zÀ-ɏ]")
 _LATIN_WORD = re.compile(r"[a-zß-ɏ]+")
 _PART = re.compile(r"[.!?…]\s+|[。！？।\n]+")
@@ -130,15 +129,6 @@ class Languages:
     def shares(self, text: str) -> tuple[Counter, int]:
         """Characters of a text by language, sentence by sentence; and how many could be told."""
         found: Counter = Counter()
-        if self.langs and not _OTHER_SCRIPT.search(text):
-            # A text whose words all point to one language needs no look at its sentences.
-            words = [w for w in _LATIN_WORD.findall(text.lower()) if w in self.scores]
-            if words:
-                sums = [sum(column) for column in zip(*map(self.scores.__getitem__, words))]
-                order = sorted(sums)
-                if len(sums) == 1 or order[-1] - order[-2] > 1.2 * len(words) + 2:
-                    found[self.langs[sums.index(order[-1])]] = known = sum(map(len, words))
-                    return found, known
         for part in _PART.split(text.lower()):
             if not part:
                 continue
@@ -219,9 +209,6 @@ class Features:
 
     def _copy(self, prompt: str, text: str) -> list[int]:
         tokens, ppairs, n, echo, *_ = self._prompt_parts(prompt)
-        if len(text) > 3 * len(prompt) + 60:
-            # Most of it can't be the prompt.
-            return [slot("c:long")]
         units = self._units(_TAG.sub(" ", text))
         if not units or not n:
             return [slot("c:none")]
@@ -272,28 +259,25 @@ class Features:
     def _truncated(self, raw: str, text: str) -> list[int]:
         if not text:
             return [slot("t:none")]
-        ends = bool(_TERMINAL.search(text[-12:]))
+        ends = text.rstrip(_CLOSING)[-1:] in _TERMINALS
         fences = text.count("```") % 2 == 1
-        pieces = _TOKEN.findall(text[-160:])
+        pieces = _last_tokens(text)
         tokens = ["0" if t[0].isdigit() else t.lower() for t in pieces[-6:]]
         end = text[-1]
         kind = "L" if end.isalpha() else "D" if end.isdigit() else end
         out = [f"t:end{kind}", f"t:ends{ends}", f"t:fence{fences}"]
         for k in range(1, min(7, len(tokens) + 1)):
             out.append(f"t:w{k}:" + " ".join(tokens[-k:]))
-        if ends and not fences and text[0] not in "{[":
-            # A closed end needs no further look.
-            return [slot(x) for x in out]
         last_line = text.rsplit("\n", 1)[-1].strip()
-        sentence = _SENTENCE.split(text[-400:])[-1] or last_line
+        sentence = _last_sentence(text) or last_line
         shaped = ["0" if t[0].isdigit() else "X" if t[0].isupper() else t for t in pieces[-6:]]
-        words = re.findall(r"[^\W\d_]+", text[-60:])
-        last = words[-1].lower() if words and text.endswith(words[-1]) else ""
+        last = pieces[-1].lower() if pieces and pieces[-1].isalpha() else ""
         seen = "-" if not last else "dense" if _DENSE.search(last) else str(last in self.known)
         item = bool(re.match(r"\s*(?:[-*•+]|\d+[.)])\s", last_line))
-        items = len(re.findall(r"(?m)^\s*(?:[-*•+]|\d+[.)])\s", text)) if item else 0
-        opened = sum(sentence.count(c) for c in "([{“«„「『《（【") - sum(sentence.count(c) for c in ")]}”»「」』》）】“") if not ends else 0
-        quotes = sentence.count('"') % 2 if not ends else 0
+        items = len(re.findall(r"(?m)^\s*(?:[-*•+]|\d+[.)])\s", text))
+        opened = sum(sentence.count(c) for c in "([{“«„「『《（【") - sum(sentence.count(c) for c in ")]}”»「」』》）】“")
+        left_open = any(text.count(a) > text.count(b) for a, b in ("()", "[]", "{}", "«»", "「」", "『』", "《》", "（）", "【】"))
+        quotes = sentence.count('"') % 2
         struct = "none"
         if text[:1] in "{[":
             try:
@@ -304,7 +288,7 @@ class Features:
         inside = _tokens(sentence)
         n = len(inside)
         first = " ".join(inside[:2])
-        out += [f"t:seen{seen}", f"t:seenends{seen}{ends}", f"t:item{item}{min(items, 3)}{ends}", f"t:open{opened > 0}", f"t:quote{quotes}{ends}", f"t:struct{struct}", f"t:n{min(n, 20)}{ends}", f"t:first{first}{ends}{min(n, 16) // 2}", f"t:only{not _SENTENCE.search(text)}{ends}{min(n, 8)}", f"t:closed{text.endswith('```')}{fences}", f"t:space{raw != text}"]
+        out += [f"t:seen{seen}", f"t:seenends{seen}{ends}", f"t:item{item}{min(items, 3)}{ends}", f"t:open{opened > 0}{ends}", f"t:left{left_open}{ends}", f"t:quote{quotes}{ends}", f"t:struct{struct}", f"t:n{min(n, 20)}{ends}", f"t:first{first}{ends}{min(n, 16) // 2}", f"t:only{not _SENTENCE.search(text)}{ends}{min(n, 8)}", f"t:closed{text.endswith('```')}{fences}", f"t:space{raw != text}"]
         for k in range(1, min(7, len(shaped) + 1)):
             out.append(f"t:s{k}:" + " ".join(shaped[-k:]))
         tail = re.sub(r"\d", "0", text[-8:])
@@ -316,6 +300,30 @@ class Features:
         return [slot(x) for x in out]
 
 
+_TERMINALS, _CLOSING = frozenset(".!?…。！？｡।॥؟۔"), "\"”»“’)]』」》）】*_`"
+
+
+def _last_tokens(text: str) -> list[str]:
+    """At least the last six tokens of a text, if it has so many."""
+    size = 160
+    while True:
+        pieces = _TOKEN.findall(text[-size:])
+        # The first token may be cut off by the window.
+        if len(pieces) > 6 or size >= len(text):
+            return pieces
+        size *= 4
+
+
+def _last_sentence(text: str) -> str:
+    """What follows the last sentence end of the whole text."""
+    size = 400
+    while True:
+        parts = _SENTENCE.split(text[-size:])
+        if len(parts) > 1 or size >= len(text):
+            return parts[-1]
+        size *= 4
+
+
 _MANY = re.compile(r"(?s)(?:[^\w]*[^\W_]){25}")
 _FULL = [slot("e:n12"), slot("e:len10"), slot("e:tagFalse")]
 _HOLDERS = frozenset(re.findall(r"\([^)]*\)|\[[^\]]*\]|\{+[^}]*\}+|<[^>]*>|（[^）]*）|\S+", PLACEHOLDERS)) | {"no response", "no answer"}
@@ -384,9 +392,17 @@ class Linear:
         self.threshold = float(np.median(at))
 
 
+#: Stops that end no sentence: of a list number, of an abbreviation, and inside a number or a name.
+_INNER_STOP = re.compile(r"(?m)^[^\S\n]*\d{1,3}[.](?=[^\S\n]+\S)|(?<=\w)\.(?=[^\S\n]+[a-zß-ÿа-яё])|\b(?:Dr|Mr|Mrs|Ms|Prof|St|Nr|No|Fig|Sr|Sra|vs|bzw|[а-я])\.(?=[^\S\n]+\S)|(?<=\w)\.(?=\w)")
+
+
 def _cut(text: str, rng: np.random.Generator) -> str | None:
     """A response broken off somewhere inside, not at a sentence end."""
     n = len(text)
+    if rng.random() < 0.1:
+        stops = [m.end() for m in _INNER_STOP.finditer(text) if m.end() > max(3, n // 5) and n - m.end() > 1]
+        if stops:
+            return text[: stops[int(rng.integers(len(stops)))]]
     if rng.random() < (0.15 if n >= 25 else 0.5):
         marks = [m.end() for m in re.finditer(r"[(\[{“«„「『（,;:+*/=<>–—]", text) if m.end() > max(3, n // 5) and n - m.end() > 1]
         if marks:
@@ -419,7 +435,7 @@ def _copied(prompt: str, rng: np.random.Generator) -> str:
     forms = [
         lambda: p, lambda: p, lambda: p.lower(), lambda: p.upper(), lambda: "> " + p, lambda: f'"{p}"', lambda: "Question: " + p, lambda: "Prompt: " + p, lambda: "User: " + p,
         lambda: p + "\n" + p, lambda: p + " " + p, lambda: p.rstrip(".?!。？！"), lambda: f"**{p}**", lambda: "You asked: " + p, lambda: re.sub(r"[^\w\s]", "", p), lambda: p + "\n\n",
-        lambda: f"<prompt>{p}</prompt>", lambda: f"```\n{p}\n```", lambda: "Q: " + p + "\nA:",
+        lambda: "\n".join([p] * int(rng.integers(3, 8))), lambda: " ".join([p] * int(rng.integers(3, 8))), lambda: f"<prompt>{p}</prompt>", lambda: f"```\n{p}\n```", lambda: "Q: " + p + "\nA:",
     ]
     out = forms[int(rng.integers(len(forms)))]()
     words = out.split(" ")
