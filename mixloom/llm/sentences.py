@@ -83,10 +83,8 @@ class Evidence:
         starts, mids = self.starts.get(word, 0), self.mids.get(word, 0)
         if starts:
             return starts >= 0.04 * mids
-        if self.totals.get(word, 0) >= 25:
-            # Often seen, never as the first word of a sentence.
-            return False
-        return word[:1].isupper()
+        # Never seen as the first word of a sentence: mostly inside of sentences, or just not known.
+        return word[:1].isupper() and (not mids or 2 * mids < self.totals.get(word, 0))
 
     def common(self, word: str) -> bool:
         """Whether a capitalised word is an ordinary word, not a name."""
@@ -228,24 +226,38 @@ class Splitter:
 
     def __init__(self, text: str, evidence: Evidence):
         self.text, self.evidence = text, evidence
-        self._local: tuple | None = None
+        self._continued: frozenset | None = None
+        self._bare: frozenset | None = None
+        self._names: frozenset | None = None
         self._openers: frozenset | None = None
         self.thai = bool(_THAI.search(text))
 
     @property
-    def local(self):
-        """The document's own tokens that go on after a full stop, and those without one."""
-        if self._local is None:
-            self._local = frozenset(continued(self.text)), frozenset(t for t in _TOKEN.findall(self.text) if t[-1] != ".")
-        return self._local
+    def continued(self) -> frozenset:
+        """The document's own tokens that go on after a full stop."""
+        if self._continued is None:
+            self._continued = frozenset(continued(self.text))
+        return self._continued
+
+    @property
+    def bare(self) -> frozenset:
+        """The document's own tokens without a full stop."""
+        if self._bare is None:
+            self._bare = frozenset(t for t in _TOKEN.findall(self.text) if t[-1] != ".")
+        return self._bare
 
     def opens(self, word: str) -> bool:
-        """Whether a word may open a sentence after a doubtful full stop, by corpus or document."""
-        if self.evidence.opens(word):
-            return True
+        """Whether a word may open a sentence after a doubtful full stop, by document, else by corpus."""
         if self._openers is None:
             self._openers = frozenset(_AFTER_MARK.findall(self.text))
-        return word in self._openers
+        return word in self._openers or self.evidence.opens(word)
+
+    def common(self, word: str) -> bool:
+        """Whether a capitalised word is an ordinary word, not a name, by document, else by corpus."""
+        if self._names is None:
+            self._names = frozenset(_MID.findall(self.text))
+        name, ordinary = word in self._names, word.lower() in self.bare
+        return ordinary if name != ordinary else self.evidence.common(word)
 
     def kind_of(self, word: str) -> str:
         """title, numeric, inner, ender, initial, abbreviation or '' of a token before a full stop."""
@@ -262,12 +274,12 @@ class Splitter:
         parts = word.split(".")
         if len(parts) > 1 and all(len(x) <= 2 for x in parts):
             return "ender"
-        if word in self.evidence.abbreviations:
-            return "abbreviation"
-        if len(word) > 6 or self.evidence.lowers.get(word.lower(), 0) > 20 or self.evidence.totals.get(word, 0) > 20:
+        # The document tells it if its occurrences agree; the corpus is asked if they don't, or if there are none.
+        goes_on, known = word in self.continued, word in self.evidence.abbreviations
+        if not goes_on and not known:
             return ""
-        continued, bare = self.local
-        return "abbreviation" if word in continued and word not in bare else ""
+        bare = word in self.bare
+        return "abbreviation" if (goes_on if goes_on != bare else known) else ""
 
     def ends(self, p: str, a: int, b: int) -> bool:
         """Whether the marks p[a:b], outside of quotations and brackets, end a sentence."""
@@ -374,11 +386,11 @@ class Splitter:
         if kind == "title" or kind == "inner":
             return False
         if kind == "initial":
-            return self.evidence.common(nword) and self.opens(nword)
+            return self.common(nword) and self.opens(nword)
         if kind == "numeric":
-            return word.lower() in ("no", "app", "art", "s") and self.opens(nword) and self.evidence.common(nword) and word.islower()
+            return word.lower() in ("no", "app", "art", "s") and self.opens(nword) and self.common(nword) and word.islower()
         if kind == "abbreviation":
-            return self.evidence.common(nword) and self.opens(nword)
+            return self.common(nword) and self.opens(nword)
         if head in _OPENERS and kind == "ender":
             return True
         if word in ("etc", "al", "a.m", "p.m", "A.M", "P.M") or _DIGIT.search(nword):
