@@ -152,3 +152,8 @@ def acceptance(df: DataFrame) -> DataFrame:
 
 def eval_summary(df: DataFrame, model: str, task: str, value: str, tasks: list[str]) -> DataFrame:
     return df.groupBy(model).pivot(task, tasks).agg(F.bround(F.avg(value), 4))
+
+
+def eval_means(df: DataFrame, model: str, task: str, value: str) -> DataFrame:
+    """As eval_summary, in long form: one row for each model and task that is found."""
+    return df.groupBy(model, task).agg(F.bround(F.avg(value), 4).alias("mean"))

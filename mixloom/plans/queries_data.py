@@ -382,6 +382,13 @@ def eval_summary(spark, sf):
     return stats.eval_summary(d, "model_a", "evaluator", "v", ["rater_00", "rater_01"])
 
 
+# eval_summary has two evaluators, as its SQL does; this has all that are found.
+@q("select model_a, evaluator, round_even(avg(length(prompt)), 4) as mean from human_evals group by 1, 2")
+def eval_summary_long(spark, sf):
+    d = read(spark, sf, "human_evals").withColumn("v", F.length("prompt"))
+    return stats.eval_means(d, "model_a", "evaluator", "v")
+
+
 @q("select h.evaluator, count(*) as n, count(distinct instance_id) as instances from human_evals h group by 1")
 def judgements_by_rater(spark, sf):
     return read(spark, sf, "human_evals").groupBy("evaluator").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("instance_id").alias("instances"))

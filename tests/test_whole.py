@@ -16,3 +16,12 @@ def test_rows_and_outputs_of_every_prompt(spark, sf):
     assert Counter(map(tuple, got.collect())) == pairs
     old = Counter(map(tuple, q["outputs_per_prompt"](spark, sf).collect()))
     assert old < pairs and {k for k, _, _ in pairs - old} == {k for k, p in rows if p == "pr-seed-0"}
+
+
+def test_every_evaluator_has_a_mean(spark, sf):
+    q = catalogue.queries()
+    judged = spark.read.parquet(f"{sf}/human_evals.parquet").select("model_a", "evaluator").distinct().collect()
+    got = {(r["model_a"], r["evaluator"]): r["mean"] for r in q["eval_summary_long"](spark, sf).collect()}
+    assert set(got) == set(map(tuple, judged)) and len({e for _, e in got}) > 2
+    for r in q["eval_summary"](spark, sf).collect():
+        assert all(got.get((r["model_a"], e)) == r[e] for e in ("rater_00", "rater_01"))
