@@ -1,7 +1,12 @@
 """Queries that answer for every row, where an older query of the same kind leaves some out."""
 
+import string
+import unicodedata
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from mixloom.functions import text as T
 from mixloom.plans import catalogue
 
 
@@ -25,3 +30,32 @@ def test_every_evaluator_has_a_mean(spark, sf):
     assert set(got) == set(map(tuple, judged)) and len({e for _, e in got}) > 2
     for r in q["eval_summary"](spark, sf).collect():
         assert all(got.get((r["model_a"], e)) == r[e] for e in ("rater_00", "rater_01"))
+
+
+def test_every_item_is_normalised(spark, sf):
+    q = catalogue.queries()
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/eval_items.parquet").collect()}
+    got = {r["item_id"]: r["x"] for r in q["normalized_answers_all"](spark, sf).collect()}
+    assert set(got) == set(items) and any(x and not x.isascii() for x in got.values())
+    for r in q["normalized_answers"](spark, sf).collect():
+        assert got[r["item_id"]] == r["x"]
+
+
+def test_normalised_texts_against_brute_force(spark):
+    def brute(text):
+        if text is None:
+            return None
+        kept = "".join(c for c in text.lower() if c not in string.punctuation)
+        words, word = [], ""
+        for c in kept + " ":
+            if c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M":
+                word += c
+            else:
+                words += ["" if word in ("a", "an", "the") else word, c]
+                word = ""
+        return " ".join("".join(x or " " for x in words).split())
+
+    texts = [None, "", "The Straße, à la carte", "Ein Haus an der Elbe!", "什么都没有变。the end", "l'été a été", "Éa the x", "аn an", "“The” end", "the-the a.", "naïve ań an"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = dict(map(tuple, rows.select("i", T.normalize_answer(F.col("x")).alias("y")).collect()))
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
