@@ -294,6 +294,15 @@ def rollout_batch(spark, sf):
     return registry.rollout_batch(e, "user_id", "value", "event_id", step, 5000).select("event_id", F.round("advantage", 6).alias("advantage"))
 
 
+# rollout_batch takes the newest 5,001 ids, as its SQL does; here the step is the day, so the share of the
+# table that is fresh doesn't shrink with its size.
+@q("select e.event_id, round((value - m) / (d + 1e-8), 6) as advantage from (select *, avg(value) over (partition by user_id) as m, stddev_pop(value) over (partition by user_id) as d, max(value) over (partition by user_id) - min(value) over (partition by user_id) as w from (select * from events where (select max(ts)::date from events) - ts::date <= 14)) e where w > 0")
+def rollout_batch_days(spark, sf):
+    e = events(spark, sf).withColumn("day", F.unix_date(F.to_date("ts")))
+    step = e.agg(F.max("day")).first()[0]
+    return registry.rollout_batch(e, "user_id", "value", "day", step, 14).select("event_id", F.round("advantage", 6).alias("advantage"))
+
+
 @q("with s as (select user_id, event_id, value, (row_number() over (partition by user_id order by event_id) - 1) // 4 as g from events) select user_id, g as group_no, round(avg(value), 6) as mean, round(max(value) - min(value), 6) as spread from s group by 1, 2 having count(*) = 4")
 def rollout_groups(spark, sf):
     g = rollouts.batch_groups(events(spark, sf), "user_id", "event_id", "value", 4)

@@ -59,3 +59,13 @@ def test_normalised_texts_against_brute_force(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
     got = dict(map(tuple, rows.select("i", T.normalize_answer(F.col("x")).alias("y")).collect()))
     assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_fresh_days_keep_their_share(spark, sf, tmp_path):
+    """The same month with tenfold events is as fresh: the share that is taken doesn't shrink."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    n = e.count()
+    many = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("event_id", F.col("event_id") + F.col("k") * n).drop("k")
+    many.write.parquet(f"{tmp_path}/events.parquet")
+    q = catalogue.queries()["rollout_batch_days"]
+    assert 0 < q(spark, sf).count() < n and q(spark, str(tmp_path)).count() == 10 * q(spark, sf).count()
