@@ -37,7 +37,7 @@ PREFIX = (WORD_RUN - WORD_SHINGLE + 1) - SURVIVE + 1
 DENSE = 8
 
 _CF = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Cf", "Cc") and chr(c) not in "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85") + "]+")
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"(?<!<)(?:</?[a-z][^<>]{0,198}|<![^<>]{1,198})>(?!>)")
 _ESCAPE = re.compile(r"\\[nrt]")
 _INNER = re.compile(r"[.,](?<=\d[.,])(?=\d)|['’](?<=[^\W\d_]['’])(?=[^\W\d_])|_")
 _WORD = re.compile(r"[^\W_]+")
@@ -261,11 +261,17 @@ def _reach(a, b, p: int, q: int, step: int, edits: int) -> list[int]:
 
 def longest_run(item, text, i: int, j: int, size: int, edits: int) -> int:
     """Longest run of item tokens around the shared shingle item[i:i+size] = text[j:j+size] that
-    occurs in the text with at most ``edits`` edits; it begins and ends with a match."""
+    occurs in the text with at most ``edits`` edits. It begins and ends with a match or at the
+    item's border, where the words left over count as edits."""
     if any(item[i + k] != text[j + k] for k in range(size)):
         return 0
     left = _reach(item, text, i - 1, j - 1, -1, edits)
     right = _reach(item, text, i + size, j + size, 1, edits)
+    for reach, border in ((left, i), (right, len(item) - i - size)):
+        # From the last to the first, as each looks at those of fewer edits.
+        for e in range(edits, -1, -1):
+            if any(border - reach[k] <= e - k for k in range(e + 1)):
+                reach[e] = border
     return size + max(left[e] + right[edits - e] for e in range(edits + 1))
 
 
