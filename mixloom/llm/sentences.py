@@ -3,23 +3,27 @@
 A text is first cut into blocks: fenced code, title lines, list items, speakers' turns and
 paragraphs.  Paragraphs are split at sentence ends by document-centred disambiguation: whether a
 full stop ends an abbreviation and whether a capital letter is a name's are decided by
-unambiguous occurrences, first in the same document, then in the whole corpus.  Scripts have
-their own terminators: CJK marks and dandas end at once, Thai uses spaces.
+unambiguous occurrences in the same document.  Where the document is silent or of two minds, the
+counts of the whole corpus decide, by shares; fixed lists come last, for words that neither
+tells.  Scripts have their own terminators: CJK marks and dandas end at once, Thai uses spaces.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect
+from collections import ChainMap, Counter
+from functools import cached_property
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.session import cut
 
-# Abbreviations of several languages, by what may follow them. They only serve as a
-# prior; the document and the corpus add their own.
+# Abbreviations of several languages, by what may follow them. They are asked last,
+# about words that neither the document nor the corpus tells.
 TITLES = frozenset(
     "Dr Prof Mr Mrs Ms Mx Messrs Capt Lt Col Sgt Gen Maj Cmdr Adm Rev Hon Gov Sen Rep Pres St Sr Sra Srta Dra Ing Lic Arq Mme Mlle MM Hr Fr Frl Dipl Mag "
     "Univ Herr Frau Д-р Проф проф акад им гр डॉ प्रो श्री".split()
@@ -32,6 +36,7 @@ INNER = frozenset(
     "vs e.g i.e cf Cf viz esp incl excl approx al resp bzw bspw z.B d.h u.a vgl Vgl inkl exkl ggf evtl sog insb ex p.ex ej p.ej env ca Abs Nr тыс млн млрд руб напр".split()
 )
 ENDERS = frozenset("etc Inc Ltd Co Corp Bros Jr U.S U.K U.N E.U D.C a.m p.m A.M P.M al usw usf ff Min min Std sec hrs hr kg cm EE UU Ud Uds Vd ETC т.д т.п г гг др пр тыс al".split())
+LISTED = TITLES | NUMERIC | INNER | ENDERS
 #: Months that follow an ordinal number.
 MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember januar februar mars maj juni juli august".split())
 #: speakers' labels, besides words that label several lines of a document.
@@ -55,7 +60,10 @@ _OPEN_OF = {v: k for k, v in _PAIRS.items()}
 _MARK = re.compile(r"[()\[\]{}«»„“”\"「」『』《》（）【】〈〉‹›]")
 #: A full stop before a digit, a small letter or a comma inside a token ends nothing.
 _STOP = re.compile(r"[!?…。！？｡।॥؟۔‼⁇⁈⁉．][.!?…。！？｡।॥؟۔‼⁇⁈⁉．]*|\.++[!?…]*(?![\da-z,;:])")
-_LAST_WORD = re.compile(r"[^\W\d_](?:[\wऀ-ःऺ-ॏ'’-]*(?:\.[\w'’-]+)*)?$")
+#: Scripts whose words aren't set apart: no letter of theirs belongs to an abbreviation.
+_DENSE = "⺀-⿟々-〇぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_LAST_WORD = re.compile(rf"[^\W\d_{_DENSE}](?:[^\W{_DENSE}]|[ऀ-ःऺ-ॏ'’-]|\.(?=[^\W{_DENSE}]|['’-]))*$")
+_WORD_CHAR = re.compile(rf"[^\W{_DENSE}]|[ऀ-ःऺ-ॏ'’-]")
 _DIGIT = re.compile(r"\d")
 _NEXT_WORD = re.compile(r"[\w][\w'’-]*")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
@@ -63,64 +71,115 @@ _THAI = re.compile(r"[ก-๎]")
 _URLISH = re.compile(r"://|www\.|[=&@]|/\w|\?\w+=")
 _INITIAL = re.compile(r"[^\W\d_]")
 #: Combining marks belong to words in Indic and Thai scripts.
-_TOKEN = re.compile(r"[^\W\d_][\wऀ-ःऺ-ॏ'’-]*(?:\.[^\W\d_]+)*\.?")
-_GOES_ON = re.compile(r"\.(?:[,;:)]|[ \xa0]+[a-zß-ÿа-яё])")
+_TOKEN = re.compile(rf"[^\W\d_{_DENSE}](?:[^\W{_DENSE}]|[ऀ-ःऺ-ॏ'’-])*(?:\.[^\W\d_{_DENSE}]+)*\.?")
+_GOES_ON = re.compile(r"\.(?:[,;:)]|[ \xa0]+(?:[a-zß-ÿа-яё]|(\d)))")
 _MID = re.compile(r" (?<=[a-zß-ÿа-яё,;] )([A-ZÀ-ÞА-ЯЁ][\w'’-]*)")
 _AFTER_MARK = re.compile(r"[!?](?<=[a-zß-ÿа-яё][!?])[ \xa0\n]+[¿¡]?([^\W\d_][\w'’-]*)")
 _FIRST = re.compile(r"\s*[\"“«„¿¡(]*([^\W\d_][\w'’-]*)")
 _PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
 
 
+#: What is counted of a word: with (d) and without (n) a full stop; the stop before a comma or a small
+#: letter (c), before a number (g), at the end of a paragraph (e); with a capital inside of a
+#: sentence (m), as the first word of one (s).
+COUNTS = "dncgems"
+NOTHING = (0,) * len(COUNTS)
+#: So many of the corpus' most frequent words are broadcast; all others are joined.
+HOT_WORDS = 50_000
+
+
 class Evidence:
-    """Corpus counts that settle what a document alone can't."""
+    """Corpus counts of words, which settle what a document alone can't."""
+
+    def __init__(self, counts: dict[str, tuple] | None = None):
+        self.counts = counts or {}
 
-    def __init__(self, abbreviations=(), starts=None, mids=None, lowers=None, totals=None):
-        self.abbreviations = frozenset(abbreviations)
-        self.starts, self.mids, self.lowers, self.totals = starts or {}, mids or {}, lowers or {}, totals or {}
+    def of(self, word: str) -> tuple:
+        return self.counts.get(word, NOTHING)
+
+    def lower(self, word: str) -> int:
+        """How often a word occurs in small letters."""
+        low = word.lower()
+        d, n, *_ = self.of(low)
+        return d + n if low[:1].islower() else 0
 
     def opens(self, word: str) -> bool:
         """Whether a word may open a sentence after a doubtful full stop."""
-        starts, mids = self.starts.get(word, 0), self.mids.get(word, 0)
+        d, n, _, _, _, mids, starts = self.of(word)
         if starts:
             return starts >= 0.04 * mids
         # Never seen as the first word of a sentence: mostly inside of sentences, or just not known.
-        return word[:1].isupper() and (not mids or 2 * mids < self.totals.get(word, 0))
+        return word[:1].isupper() and (not mids or 2 * mids < d + n)
 
     def common(self, word: str) -> bool:
         """Whether a capitalised word is an ordinary word, not a name."""
-        return self.lowers.get(word.lower(), 0) > self.mids.get(word, 0)
+        return self.lower(word) > self.of(word)[5]
 
+    def starts_low(self, word: str) -> bool:
+        """Whether a word opens sentences in small letters."""
+        d, n, *_, starts = self.of(word)
+        return starts > 0.1 * max(1, d + n)
 
-def continued(text: str) -> list[str]:
-    """Tokens whose full stop is followed by a comma or a small letter."""
-    found = []
-    for m in _GOES_ON.finditer(text):
-        token = text[max(0, m.start() - 40) : m.start()].rsplit(None, 1)
-        if token and (word := _LAST_WORD.search(token[-1])):
-            found.append(word[0])
-    return found
+    def abbreviates(self, word: str) -> bool | None:
+        """Whether a word before a full stop is an abbreviation; none if the corpus doesn't tell."""
+        d, n, c, g, e, *_ = self.of(word)
+        if 4 * n > d:
+            return False
+        if not d or n + 0.5 > 0.2 * (d + 1):
+            return None
+        if c >= 0.2 * (d + 1) or g >= 0.5 * (d + 1):
+            return True
+        # A capitalised word that always has its stop, and never at the end of a paragraph.
+        return True if word[:1].isupper() and not n and self.inside(word) else None
+
+    def inside(self, word: str) -> bool:
+        """Whether the word's full stop never ends a paragraph, though it is seen often enough."""
+        d, e = self.of(word)[0], self.of(word)[4]
+        return e + 0.5 < 0.02 * (d + 1)
+
+    def numbered(self, word: str) -> bool:
+        """Whether a number mostly follows the word's full stop."""
+        d, g = self.of(word)[0], self.of(word)[3]
+        return g >= 0.5 * (d + 1)
+
+
+def word_start(text: str, at: int, dots: bool = True) -> int:
+    """Where the token that ends before ``at`` begins, with or without the stops inside it."""
+    k = at
+    while k and (_WORD_CHAR.match(text, k - 1) or (dots and text[k - 1] == "." and k < at)):
+        k -= 1
+    return k
+
+
+def word_before(text: str, at: int, dots: bool = True) -> str:
+    """The word, with or without the stops inside it, right before a full stop; none if it has digits."""
+    word = _LAST_WORD.search(text[word_start(text, at, dots) : at])
+    return word[0] if word and not _DIGIT.search(word[0]) else ""
 
 
 def observe(text: str, into: Counter, tokens: Counter) -> None:
     """Adds a document's unambiguous occurrences to the counts (kind, word), and its raw tokens."""
     tokens.update(text.split())
-    for token in continued(text):
-        into["c", token] += 1
+    for m in _GOES_ON.finditer(text):
+        if word := word_before(text, m.start()):
+            into["g" if m[1] else "c", word] += 1
     for word in _MID.findall(text):
         into["m", word] += 1
     for word in _AFTER_MARK.findall(text):
         into["s", word] += 1
     for part in _PARAGRAPH.split(text):
         part = part.rstrip()
-        if part and (part[-1] in _END or part[-1] in _CLOSERS) and part[0] not in "#-*•`" and (m := _FIRST.match(part)):
+        if not part:
+            continue
+        if part[-1] == "." and (word := word_before(part, len(part) - 1)):
+            into["e", word] += 1
+        if (part[-1] in _END or part[-1] in _CLOSERS) and part[0] not in "#-*•`" and (m := _FIRST.match(part)):
             into["s", m[1]] += 1
 
 
 def settle(tokens: Counter, into: Counter) -> None:
     """Turns raw tokens into words with (d) and without (n) a full stop behind them."""
     for raw, n in tokens.items():
-        if len(raw) > 60:
-            continue
         for token in _TOKEN.findall(raw):
             if token[-1] == ".":
                 into["d", token[:-1]] += n
@@ -129,18 +188,17 @@ def settle(tokens: Counter, into: Counter) -> None:
     tokens.clear()
 
 
-def corpus_evidence(df: DataFrame, text_col: str = "text", rarest: float = 2e-7) -> Evidence:
-    """Counts over all documents, combined in each task before they are shuffled.
-
-    Words kept have at least a share ``rarest`` of all tokens (and occur twice), so the table that
-    is collected and broadcast has at most 5 / ``rarest`` rows however large the corpus is.
-    """
+def corpus_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word`` and its COUNTS over all documents, combined in each task before they are shuffled."""
     source = df.select(F.col(text_col).cast("string").alias("text")).where("text is not null and text != ''")
 
     def run(batches):
         def table(counts):
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["kind", "word", "n"])
+            words: dict[str, list[int]] = {}
+            for (kind, word), n in counts.items():
+                words.setdefault(word, [0] * len(COUNTS))[COUNTS.index(kind)] += n
+            columns = list(zip(*words.values())) or [()] * len(COUNTS)
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["word", *COUNTS])
 
         counts: Counter = Counter()
         tokens: Counter = Counter()
@@ -155,57 +213,49 @@ def corpus_evidence(df: DataFrame, text_col: str = "text", rarest: float = 2e-7)
         settle(tokens, counts)
         yield table(counts)
 
-    counted = source.mapInArrow(run, "kind string, word string, n bigint").where("length(word) <= 40").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    by_word = counted.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in "dncms"])
-    words = cut(by_word)
-    total = words.agg(F.coalesce(F.sum(F.col("d") + F.col("n")), F.lit(0))).first()[0]
-    least = max(2, int(total * rarest))
-    abbreviations, starts, mids, lowers, totals = set(), {}, {}, {}, {}
-    useful = words.where(f"d + n >= {least} and (c >= 2 or s > 0 or m > 0 or d > 0 or word != initcap(word))")
-    for word, d, n, c, m, s in useful.select("word", "d", "n", "c", "m", "s").toLocalIterator():
-        if c >= 2 and c >= 0.2 * d and d >= 4 * n:
-            abbreviations.add(word)
-        if s:
-            starts[word] = s
-        if m:
-            mids[word] = m
-        if word[:1].islower():
-            lowers[word] = d + n
-        else:
-            totals[word] = d + n
-    return Evidence(abbreviations, starts, mids, lowers, totals)
+    counted = source.mapInArrow(run, "word string, " + ", ".join(f"{k} bigint" for k in COUNTS))
+    return counted.groupBy("word").agg(*[F.sum(k).alias(k) for k in COUNTS])
 
 
 def _regions(p: str) -> list[tuple[int, int]]:
     """Outermost balanced quotations and brackets of a paragraph, as (opening, closing) places."""
     stack: list[tuple[str, int]] = []
+    open_now = dict.fromkeys("\"“„" + "".join(_OPEN_OF), 0)
     found: list[tuple[int, int]] = []
+
+    def close(marks: str, at: int) -> None:
+        while True:
+            ch, i = stack.pop()
+            open_now[ch] -= 1
+            if ch in marks:
+                found.append((i, at))
+                return
+
     for m in _MARK.finditer(p):
         ch, i = m[0], m.start()
-        top = stack[-1][0] if stack else ""
-        if ch == '"':
-            if any(x == '"' for x, _ in stack):
-                while stack[-1][0] != '"':
-                    stack.pop()
-                found.append((stack.pop()[1], i))
-            elif (i == 0 or not p[i - 1].isalnum()) and i + 1 < len(p) and not p[i + 1].isspace():
-                stack.append((ch, i))
+        if ch in _OPEN_OF or ch == "„":
+            opening = True
+        elif ch == '"':
+            if open_now[ch]:
+                close(ch, i)
+                continue
+            opening = (i == 0 or not p[i - 1].isalnum()) and i + 1 < len(p) and not p[i + 1].isspace()
         elif ch == "“":
-            if top == "„":
-                found.append((stack.pop()[1], i))
-            else:
-                stack.append((ch, i))
+            if stack and stack[-1][0] == "„":
+                close("„", i)
+                continue
+            opening = True
         elif ch == "”":
-            if any(x in "“„" for x, _ in stack):
-                while stack[-1][0] not in "“„":
-                    stack.pop()
-                found.append((stack.pop()[1], i))
-        elif ch in _OPEN_OF or ch == "„":
+            if open_now["“"] or open_now["„"]:
+                close("“„", i)
+            continue
+        else:
+            if open_now[_PAIRS[ch]]:
+                close(_PAIRS[ch], i)
+            continue
+        if opening:
             stack.append((ch, i))
-        elif any(x == _PAIRS[ch] for x, _ in stack):
-            while stack[-1][0] != _PAIRS[ch]:
-                stack.pop()
-            found.append((stack.pop()[1], i))
+            open_now[ch] += 1
     outer: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if not outer or a > outer[-1][1]:
@@ -221,65 +271,90 @@ def _uncased(ch: str) -> bool:
     return ch.isalpha() and ch.lower() == ch.upper()
 
 
-class Splitter:
-    """Splits the paragraphs of one document."""
+class Document:
+    """Unambiguous occurrences of words in one document, found when they are first asked for."""
 
-    def __init__(self, text: str, evidence: Evidence):
-        self.text, self.evidence = text, evidence
-        self._continued: frozenset | None = None
-        self._bare: frozenset | None = None
-        self._names: frozenset | None = None
-        self._openers: frozenset | None = None
-        self.thai = bool(_THAI.search(text))
+    def __init__(self, text: str):
+        self.text = text
 
-    @property
+    @cached_property
     def continued(self) -> frozenset:
-        """The document's own tokens that go on after a full stop."""
-        if self._continued is None:
-            self._continued = frozenset(continued(self.text))
-        return self._continued
+        """Words that go on after a full stop: with a comma or a small letter."""
+        return frozenset(word_before(self.text, m.start()) for m in _GOES_ON.finditer(self.text) if not m[1])
 
-    @property
+    @cached_property
     def bare(self) -> frozenset:
-        """The document's own tokens without a full stop."""
-        if self._bare is None:
-            self._bare = frozenset(t for t in _TOKEN.findall(self.text) if t[-1] != ".")
-        return self._bare
+        """Words without a full stop."""
+        return frozenset(t for t in _TOKEN.findall(self.text) if t[-1] != ".")
+
+    @cached_property
+    def names(self) -> frozenset:
+        """Words with a capital inside of a sentence."""
+        return frozenset(_MID.findall(self.text))
+
+    @cached_property
+    def openers(self) -> frozenset:
+        """Words behind a mark that certainly ends a sentence."""
+        return frozenset(_AFTER_MARK.findall(self.text))
+
+    @cached_property
+    def danda(self) -> bool:
+        return "।" in self.text or "॥" in self.text
+
+    def ordinary(self, word: str) -> bool | None:
+        """Whether a capitalised word is also written small (an ordinary word), or is a name."""
+        name, small = word in self.names, word.lower() in self.bare
+        return small if name != small else None
+
+
+class Splitter:
+    """Splits the paragraphs of one document."""
+
+    def __init__(self, text: str, evidence: Evidence, document: Document | None = None):
+        self.text, self.evidence, self.document = text, evidence, document or Document(text)
+        self.thai = bool(_THAI.search(text))
+        self._urls: tuple[list[int], list[int]] | None = None
+        self._uncased: bool | None = None
 
     def opens(self, word: str) -> bool:
         """Whether a word may open a sentence after a doubtful full stop, by document, else by corpus."""
-        if self._openers is None:
-            self._openers = frozenset(_AFTER_MARK.findall(self.text))
-        return word in self._openers or self.evidence.opens(word)
+        return word in self.document.openers or bool(self.document.ordinary(word)) or self.evidence.opens(word)
 
     def common(self, word: str) -> bool:
         """Whether a capitalised word is an ordinary word, not a name, by document, else by corpus."""
-        if self._names is None:
-            self._names = frozenset(_MID.findall(self.text))
-        name, ordinary = word in self._names, word.lower() in self.bare
-        return ordinary if name != ordinary else self.evidence.common(word)
+        told = self.document.ordinary(word)
+        return self.evidence.common(word) if told is None else told
 
     def kind_of(self, word: str) -> str:
-        """title, numeric, inner, ender, initial, abbreviation or '' of a token before a full stop."""
+        """initial, title, numeric, inner, ender, abbreviation or '' of a token before a full stop.
+
+        The document tells whether it is an abbreviation if its occurrences agree, else the corpus,
+        else the lists; the kind is told by the corpus, else by the lists.
+        """
         if len(word) == 1:
             return "initial" if word.isupper() else "title" if _uncased(word) else "ender"
-        if word in TITLES:
-            return "title"
-        if word in ENDERS:
-            return "ender"
-        if word in INNER:
-            return "inner"
-        if word in NUMERIC:
-            return "numeric"
+        goes_on, by_corpus = word in self.document.continued, self.evidence.abbreviates(word)
+        if not goes_on and not by_corpus and "." not in word and (by_corpus is False or word not in LISTED):
+            # Neither of the three makes it an abbreviation, so the bare words needn't be gathered.
+            return ""
+        is_one = goes_on if goes_on != (word in self.document.bare) else by_corpus
+        if is_one is False:
+            return ""
+        if is_one or by_corpus:
+            if self.evidence.numbered(word):
+                return "numeric"
+            if self.evidence.inside(word):
+                return "inner"
+            d, *_, e, _, _ = self.evidence.of(word)
+            if e >= 0.02 * d > 0:
+                return "ender"
+        for kind, words in (("title", TITLES), ("ender", ENDERS), ("inner", INNER), ("numeric", NUMERIC)):
+            if word in words:
+                return kind
         parts = word.split(".")
         if len(parts) > 1 and all(len(x) <= 2 for x in parts):
             return "ender"
-        # The document tells it if its occurrences agree; the corpus is asked if they don't, or if there are none.
-        goes_on, known = word in self.continued, word in self.evidence.abbreviations
-        if not goes_on and not known:
-            return ""
-        bare = word in self.bare
-        return "abbreviation" if (goes_on if goes_on != bare else known) else ""
+        return "abbreviation" if is_one else ""
 
     def ends(self, p: str, a: int, b: int) -> bool:
         """Whether the marks p[a:b], outside of quotations and brackets, end a sentence."""
@@ -308,29 +383,23 @@ class Splitter:
             return gap
         if last in "!?؟‼⁇⁈⁉" or (b - a > 1 and set(dots) & set("!?")):
             if not gap:
-                token = p[max(p.rfind(" ", 0, a), p.rfind("\n", 0, a)) + 1 : (p.find(" ", b) if p.find(" ", b) >= 0 else n)]
                 if nxt in _OPENERS + "¿¡":
                     return True
-                return nxt.isalpha() and (nxt.isupper() or _uncased(nxt)) and not _URLISH.search(token)
+                return nxt.isalpha() and (nxt.isupper() or _uncased(nxt)) and not self._urlish(p, a, n)
             if head in ",;:":
                 return False
             if head in "-–—":
                 return False
             if head.islower():
                 word = _NEXT_WORD.match(p, j)
-                return bool(word) and self.evidence.starts.get(word[0], 0) > 0.1 * self.evidence.lowers.get(word[0], 0)
+                return bool(word) and self.evidence.starts_low(word[0])
             return True
         # One full stop.
         if a == 0 or p[a - 1].isspace():
             return False
-        token = p[max(0, a - 40) : a].rsplit(None, 1)[-1]
-        if token.isalpha():
-            word = token
-        else:
-            before = _LAST_WORD.search(token)
-            word = before[0] if before and not _DIGIT.search(before[0]) else ""
         if not gap:
-            return self._missing_blank(p, a, b, word)
+            return self._missing_blank(p, a, b)
+        word = word_before(p, a)
         if head in ",;:)]}":
             return False
         if head in "-–—" and not (j + 1 < n and p[j + 1].isdigit()):
@@ -349,56 +418,66 @@ class Splitter:
             return kind not in ("title", "initial")
         if nword and nword[0].isdigit():
             if kind == "ender":
-                return len(word) > 1 and not (len(word) <= 3 and word.lower() in ("co", "sec", "min"))
-            if kind:
-                return False
-            return True
+                return len(word) > 1
+            return not kind and not (word and self.evidence.numbered(word))
         if nword and nword[0].islower():
             if kind and kind != "ender":
                 return False
-            opens = self.evidence.starts.get(nword, 0) > 0.1 * max(1, self.evidence.lowers.get(nword, 0))
-            if not opens and any(c.isupper() for c in nword[1:]):
-                opens = not kind
-            return opens
+            return self.evidence.starts_low(nword) or (not kind and any(c.isupper() for c in nword[1:]))
         if not nword:
             return kind == "" or (kind == "ender")
+        devanagari = "ऀ" <= word[-1:] <= "ॿ"
+        if devanagari and self.document.danda:
+            # Sentences end with dandas, so a full stop abbreviates.
+            return False
         if _uncased(nword[0]):
-            if kind == "ender" and len(word) > 1:
-                return True
-            return kind == "" and not ("ऀ" <= (word or " ")[-1] <= "ॿ" and len(word) <= 4)
+            return kind == "" or (kind == "ender" and len(word) > 1)
         # A capital letter follows.
-        if len(nword) == 1 and p[k + 1 : k + 2] == "." and (kind == "initial" or word in ("z", "u", "i", "o", "s", "d", "v")):
-            return False
-        if word == "г" and not p[: a - 1].rstrip()[-1:].isdigit():
+        if len(nword) == 1 and p[k + 1 : k + 2] == "." and len(word) == 1:
             return False
         if number:
             # Ordinals: a word that never opens a sentence is what is counted.
-            digits = re.search(r"[\d.,:]+$", p[:a])[0]
-            if len(digits) <= 2 and digits.isdigit():
-                if nword in MONTHS:
-                    return False
-                return self.opens(nword)
+            d = a
+            while d and a - d < 3 and (p[d - 1].isdigit() or p[d - 1] in ".,:"):
+                d -= 1
+            if a - d < 3 and p[d:a].isdigit():
+                return nword not in MONTHS and self.opens(nword)
             return True
         if kind == "":
-            if word and "ऀ" <= word[-1] <= "ॿ" and len(word) <= 5:
-                return False
             return True
-        if kind == "title" or kind == "inner":
-            return False
         if kind == "initial":
             return self.common(nword) and self.opens(nword)
+        if kind == "ender" and len(word) > 1 and (head in _OPENERS or word.islower() or _DIGIT.search(nword)):
+            # An abbreviation in small letters is no part of a name, and a name with digits is none of one.
+            return True
+        t = a - len(word)
+        while t and p[t - 1].isspace():
+            t -= 1
+        if t and p[t - 1].isdigit() and kind != "title":
+            # Behind a number it is a unit, which may end a sentence.
+            return self.opens(nword)
+        if len(word) == 1 and self.evidence.inside(word):
+            return False
+        if kind == "title" or kind == "inner":
+            return False
         if kind == "numeric":
-            return word.lower() in ("no", "app", "art", "s") and self.opens(nword) and self.common(nword) and word.islower()
+            return word in self.document.bare and self.opens(nword) and self.common(nword)
         if kind == "abbreviation":
             return self.common(nword) and self.opens(nword)
-        if head in _OPENERS and kind == "ender":
-            return True
-        if word in ("etc", "al", "a.m", "p.m", "A.M", "P.M") or _DIGIT.search(nword):
-            # These aren't followed by a name they belong to; a name with digits is no part of one.
-            return True
         return self.opens(nword)
 
-    def _missing_blank(self, p: str, a: int, b: int, word: str) -> bool:
+    def _urlish(self, p: str, a: int, b: int) -> bool:
+        """Whether the unspaced token around p[a] looks like an address up to p[b]."""
+        if self._urls is None:
+            self._urls = ([], [])
+            for m in re.finditer(r"\S+", p):
+                if url := _URLISH.search(p, m.start(), m.end()):
+                    self._urls[0].append(m.start())
+                    self._urls[1].append((m.end(), url.end()))
+        i = bisect(self._urls[0], a) - 1
+        return i >= 0 and a < self._urls[1][i][0] and self._urls[1][i][1] <= b
+
+    def _missing_blank(self, p: str, a: int, b: int) -> bool:
         """A full stop inside a token: a sentence end whose blank is missing?"""
         nxt = p[b]
         if nxt in "¿¡":
@@ -411,8 +490,9 @@ class Splitter:
         if nxt in _CLOSERS and nxt not in _OPENERS:
             return False
         prev = p[a - 1]
+        first, word = word_start(p, a, False), word_before(p, a, False)
         if word:
-            if len(word) == 1 or "." in word or self.kind_of(word) in ("title", "initial", "inner"):
+            if len(word) == 1 or (first > 1 and p[first - 1] == "." and _WORD_CHAR.match(p, first - 2)) or self.kind_of(word) in ("title", "initial", "inner"):
                 return False
         elif not (prev.isdigit() or prev in _CLOSERS or prev == "%"):
             return False
@@ -421,8 +501,7 @@ class Splitter:
             return False
         if len(follow) > 1 and follow.isupper() and prev.isupper():
             return False
-        token = p[max(p.rfind(" ", 0, a), p.rfind("\n", 0, a)) + 1 : b]
-        if _URLISH.search(token):
+        if self._urlish(p, a, b):
             return False
         return self.opens(follow) or len(follow) == 1
 
@@ -462,7 +541,7 @@ class Splitter:
             return introduced and p[i] in ":：" and (head.isalnum() or _cjk(head))
         if head.islower():
             word = follow[0] if follow else ""
-            return introduced and self.evidence.starts.get(word, 0) > 0.1 * max(1, self.evidence.lowers.get(word, 0))
+            return introduced and self.evidence.starts_low(word)
         if at_start:
             if head.isupper():
                 return not self._uncased_text(p)
@@ -472,17 +551,21 @@ class Splitter:
         return introduced or head.isupper() or head.isdigit()
 
     def _uncased_text(self, p: str) -> bool:
-        return any(_uncased(c) and not c.isascii() and c not in "ªº" for c in p)
+        if self._uncased is None:
+            self._uncased = any(_uncased(c) and not c.isascii() and c not in "ªº" for c in set(p))
+        return self._uncased
 
     def paragraph(self, s: int, e: int, out: list[tuple[int, int]]) -> None:
         p = self.text[s:e]
         regions = _regions(p) if _MARK.search(p) else []
+        openings = {a for a, _ in regions}
+        self._urls = self._uncased = None
         cuts: list[int] = []
         start = 0
 
         def cut_at(end: int) -> None:
             nonlocal start
-            while end < len(p) and p[end] in _CLOSERS and (p[end] != '"' or (end + 1 >= len(p) or p[end + 1].isspace())) and not any(a == end for a, _ in regions):
+            while end < len(p) and p[end] in _CLOSERS and (p[end] != '"' or (end + 1 >= len(p) or p[end + 1].isspace())) and end not in openings:
                 end += 1
             cuts.append(end)
             start = end
@@ -499,8 +582,12 @@ class Splitter:
             events.append((m.end(), 0, m.start(), m.end()))
         events += [(b + 1, 1, a, b) for a, b in regions]
         if self.thai and len(_THAI.findall(p)) > 0.3 * sum(c.isalpha() for c in p):
-            inside = [(a, b) for a, b in regions]
-            events += [(m.start(), 2, m.start(), m.end()) for m in _THAI_GAP.finditer(p) if not any(a < m.start() < b for a, b in inside)]
+            r = 0
+            for m in _THAI_GAP.finditer(p):
+                while r < len(regions) and regions[r][1] < m.start():
+                    r += 1
+                if r == len(regions) or not regions[r][0] < m.start() < regions[r][1]:
+                    events.append((m.start(), 2, m.start(), m.end()))
         events.sort()
         for end, kind, a, b in events:
             if kind == 2:
@@ -532,7 +619,7 @@ class Splitter:
             nonlocal block, first
             if block:
                 s, e = block
-                line = text[s:e].strip()
+                line = text[s:e].strip() if first or e - s <= 400 else text[s:e]
                 if (first or len(line) <= 40) and len(line) <= 120 and not _LINE.search(line) and line[-1:] not in _END and line[-1:] not in _CLOSERS and not self._sentences_in(line):
                     _emit(text, s, e, out)
                 else:
@@ -580,7 +667,7 @@ class Splitter:
                 in_list = item_open = False
                 block = (s, e)
             elif item_open:
-                if line[0].isspace() or not (text[block[0] : block[1]].rstrip()[-1:] in _END) or block[1] - block[0] > 60:
+                if line[0].isspace() or block[1] - block[0] > 60 or text[block[0] : block[1]].rstrip()[-1:] not in _END:
                     block = (block[0], e)
                 else:
                     close_item()
@@ -599,7 +686,7 @@ class Splitter:
         if re.match(r"[^\W\d_]{1,3}\. ?\d+\s?[:.–-]", line):
             return False
         found: list[tuple[int, int]] = []
-        Splitter(line, self.evidence).paragraph(0, len(line), found)
+        Splitter(line, self.evidence, self.document).paragraph(0, len(line), found)
         return len(found) > 1
 
 
@@ -617,27 +704,83 @@ def split_text(text: str | None, evidence: Evidence | None = None) -> list[tuple
     return Splitter(text, evidence or Evidence()).split() if text else []
 
 
-def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def asked_words(text: str) -> set[str]:
+    """All words about which the splitting of a text may ask the corpus: those before and behind marks."""
+    asked = set()
+    for m in _STOP.finditer(text):
+        # A stop inside a token asks about what follows the last stop before it.
+        if m[0] == "." and (word := word_before(text, m.start(), text[m.end() : m.end() + 1].isspace())):
+            asked.add(word)
+    done = 0
+    for m in _ENDING.finditer(text):
+        if m.start() >= done:
+            done = _BETWEEN.match(text, m.end()).end()
+            if word := _NEXT_WORD.match(text, done):
+                asked.update((word[0], word[0].lower()))
+    return asked
+
+
+#: Marks that may end a sentence, a quotation or a bracket, and what may lie between them and a word.
+_ENDING = re.compile(f"[{re.escape(_END + _CLOSERS)}]")
+_BETWEEN = re.compile(rf"[\s{re.escape(_END + _OPENERS + _CLOSERS)}¿¡`*–—-]*+_*+")
+
+
+def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_WORDS) -> DataFrame:
     """One row (id, start_char, end_char) for each sentence unit of each document.
 
     * Null, empty and blank texts have no unit; the units of a text cover all but its white space.
     * Repeated rows and ids give their units each time; a null id stays null.
-    * Two passes over the texts without shuffling them: the corpus counts, then the splitting.
+    * Two passes over the texts: the corpus counts, then the splitting. The counts of the ``hot``
+      most frequent words are broadcast, so texts that ask about no other word are split where
+      they are read. The others are joined with the counts of the words they ask about, so no
+      count is left out and nothing that grows is broadcast. The result doesn't depend on ``hot``.
     """
-    evidence = df.sparkSession.sparkContext.broadcast(corpus_evidence(df, text_col))
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    counts = cut(corpus_counts(df, text_col))
+    top = counts.orderBy(F.desc(F.col("d") + F.col("n")), "word").limit(hot).toPandas()
+    known = df.sparkSession.sparkContext.broadcast({w: tuple(map(int, c)) for w, *c in top.itertuples(index=False)})
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and text != ''")
     kind = dict(source.dtypes)["id"]
+    # Fewer words than the limit: the broadcast has them all.
+    complete = len(top) < hot
 
-    def run(batches):
-        known = evidence.value
+    def first(batches):
+        evidence = Evidence(known.value)
+        have = known.value.keys()
+        base, made = TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            texts, asks, units = [], [], []
+            for text in batch.column("text").to_pylist():
+                ask = set() if complete else asked_words(text) - have
+                texts.append(text if ask else None)
+                asks.append(sorted(ask))
+                units.append([] if ask else split_text(text, evidence))
+            keys = pa.array(range(base + made, base + made + len(texts)), pa.int64())
+            made += len(texts)
+            starts, ends = ([[u[k] for u in x] for x in units] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [keys, batch.column("id"), pa.array(texts, pa.string()), pa.array(asks, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))],
+                names=["key", "id", "text", "asks", "starts", "ends"],
+            )
+
+    def second(batches):
+        hot_words = known.value
         for batch in batches:
             at, starts, ends = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                units = Splitter(text, known).split() if text else []
+            for i, (text, answers) in enumerate(zip(batch.column("text").to_pylist(), batch.column("answers").to_pylist())):
+                evidence = Evidence(ChainMap({x["word"]: tuple(x[k] for k in COUNTS) for x in answers or ()}, hot_words))
+                units = split_text(text, evidence)
                 at += [i] * len(units)
                 starts += [u[0] for u in units]
                 ends += [u[1] for u in units]
-            ids = batch.column("id").take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["id", "start_char", "end_char"])
-
-    return source.mapInArrow(run, f"id {kind}, start_char bigint, end_char bigint").withColumnRenamed("id", id_col)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int32())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["id", "start_char", "end_char"])
+
+    seen = source.mapInArrow(first, f"key bigint, id {kind}, text string, asks array<string>, starts array<bigint>, ends array<bigint>")
+    if not complete:
+        seen = cut(seen)
+    split = seen.where("text is null").select("id", F.explode(F.arrays_zip("starts", "ends")).alias("u")).select("id", F.col("u.starts").alias("start_char"), F.col("u.ends").alias("end_char"))
+    if not complete:
+        waiting = seen.where("text is not null").select("key", "id", "text")
+        answers = seen.where("text is not null").select("key", F.explode("asks").alias("word")).join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("word", *COUNTS)).alias("answers"))
+        later = waiting.join(answers, "key", "left").select("id", "text", "answers").mapInArrow(second, f"id {kind}, start_char bigint, end_char bigint")
+        split = split.unionByName(later)
+    return split.withColumnRenamed("id", id_col)
