@@ -1,9 +1,12 @@
 """Filling containers of fixed capacity (problem 6) by lexical retrieval.
 
-The documents stream through each task in shards of bounded size. A shard has an inverted
-BM25 index over its items' tokens; the largest unused item seeds a container, the index ranks
-the unused neighbours, and the best ones that fit fill it. The last place goes to the item
-that leaves the least room. Items of containers that stay underfilled wait for the next shard.
+The documents are encoded where they lie; only their distinct tokens with counts go on.  A router
+fitted on a bounded sample sends each to a lexical cluster, wherever it lies in the corpus, and a
+cluster that is too large for one index is dealt out over several shards.  A shard has an inverted
+BM25 index, with the document frequencies of the whole corpus, over its items' tokens; the largest
+unused item seeds a container, the index ranks the unused neighbours, and the best ones that fit
+fill it.  The last place goes to the best neighbour among those that leave next to no room.  Items
+of containers that stay underfilled meet those of other shards in a second round.
 """
 
 from __future__ import annotations
@@ -15,157 +18,301 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.llm.bpe import encoder, vocabulary_path
+from mixloom.session import cut
 
 CAPACITY = 2048
-SHARD_ITEMS = 2048
+#: Most items of a shard, on average, and shards of which the underfilled containers meet.
+SHARD_ITEMS, FAN = 32_768, 64
+#: Items the router is fitted on, its dimensions and most clusters.
+SAMPLE_ITEMS, DIMENSIONS, MOST_CLUSTERS = 4096, 256, 512
+#: Clusters at least so similar (cosine of their centroids) share a shard if it can hold them.
+ALIKE = 0.4
+#: Seeds that are scored together.
+BLOCK = 48
 K1, B = 1.2, 0.75
 #: Below this share of the capacity the last item of a container is chosen by size.
 CLOSING = 0.25
-#: Containers less full than this wait for the next shard of the task.
-FULL = 0.985
+#: An item that leaves at most this share of the capacity closes a container.
+SLACK = 0.001
+#: Containers less full than this go into the second round.
+FULL = 0.997
+LONG = "id {kind}, piece_no int, first_token bigint, n_tokens bigint, container_id bigint, terms array<int>, counts array<int>"
+
+
+class Corpus:
+    """Document frequencies and mean length over all items; at most one number a vocabulary entry."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean = n, max(mean, 1.0)
+        self.idf = np.zeros(int(terms.max()) + 1 if len(terms) else 1, np.float32)
+        # Robertson's idf, never below 0: a term of more than half of the items has no weight.
+        self.idf[terms] = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
+
+    @classmethod
+    def of(cls, terms: list[np.ndarray], counts: list[np.ndarray]) -> "Corpus":
+        every, df = np.unique(np.concatenate(terms) if terms else np.empty(0, np.int32), return_counts=True)
+        return cls(len(terms), float(np.mean([c.sum() for c in counts])) if counts else 1.0, every, df)
 
 
 class Bm25:
     """Inverted index of one shard; postings carry their BM25 weight."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], corpus: Corpus | None = None):
+        corpus = corpus or Corpus.of(terms, counts)
         n = len(terms)
         lengths = np.array([len(t) for t in terms], np.int64)
         doc = np.repeat(np.arange(n, dtype=np.int32), lengths)
         term = np.concatenate(terms) if n else np.empty(0, np.int32)
         tf = np.concatenate(counts).astype(np.float32) if n else np.empty(0, np.float32)
-        size = np.array([c.sum() for c in counts], np.float32)
+        norm = K1 * (1 - B + B * np.array([c.sum() for c in counts], np.float32) / corpus.mean)
+        useful = corpus.idf[term] > 0
+        doc, term, tf = doc[useful], term[useful], tf[useful]
         order = np.argsort(term, kind="stable")
-        self.vocabulary, first, df = np.unique(term[order], return_index=True, return_counts=True)
-        # Robertson's idf, never below 0: a term of more than half of the items has no weight.
-        idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5))).astype(np.float32)
-        norm = K1 * (1 - B + B * size / max(float(size.mean()), 1)) if n else size
-        doc, tf = doc[order], tf[order]
+        doc, term, tf = doc[order], term[order], tf[order]
         self.n, self.doc = n, doc
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
-        self.first, self.df, self.useful = first, df, idf > 0
+        self.vocabulary, self.first, self.df = np.unique(term, return_index=True, return_counts=True)
+        self.weight = (corpus.idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        # Long postings are rows of a matrix, at most 16 times the postings in all.
+        self.row = np.full(len(self.vocabulary), -1)
+        often = np.flatnonzero(self.df * 16 >= n)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), n), np.float32)
+        for r, t in enumerate(often):
+            self.rows[r, self.doc[self.first[t] : self.first[t] + self.df[t]]] = self.weight[self.first[t] : self.first[t] + self.df[t]]
 
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        """Score of each item of the shard for a query of distinct terms that all occur in it."""
-        at = np.searchsorted(self.vocabulary, terms)
-        at = at[self.useful[at]]
-        if not len(at):
-            return np.zeros(self.n)
-        first, df = self.first[at], self.df[at]
-        where = np.repeat(first - np.concatenate([[0], np.cumsum(df)[:-1]]), df) + np.arange(df.sum())
-        return np.bincount(self.doc[where], weights=self.weight[where], minlength=self.n)
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Score of each item of the shard for each query of distinct terms, one row a query."""
+        picked = np.zeros((len(queries), len(self.rows)), np.float32)
+        rare = []
+        for i, terms in enumerate(queries):
+            at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1) if len(self.vocabulary) else np.empty(0, np.int64)
+            at = at[self.vocabulary[at] == terms] if len(at) else at
+            dense = self.row[at] >= 0
+            picked[i, self.row[at[dense]]] = 1
+            rare.append(at[~dense])
+        out = picked @ self.rows
+        for i, at in enumerate(rare):
+            if len(at):
+                first, df = self.first[at], self.df[at]
+                where = np.repeat(first - np.concatenate([[0], np.cumsum(df)[:-1]]), df) + np.arange(df.sum())
+                out[i] += np.bincount(self.doc[where], weights=self.weight[where], minlength=self.n)
+        return out
 
 
-def fill(sizes: np.ndarray, terms: list, counts: list, capacity: int = CAPACITY) -> list[list[int]]:
+def fill(sizes: np.ndarray, terms: list, counts: list, capacity: int = CAPACITY, corpus: Corpus | None = None) -> list[list[int]]:
     """Containers (lists of item numbers) of items no larger than the capacity, every item in one.
 
-    Ties go to the earlier item, so equal input gives equal output.
+    Items without tokens join the first container. Ties go to the earlier item, so equal input
+    gives equal output.
     """
     n = len(sizes)
     if not n:
         return []
-    index = Bm25(terms, counts)
-    unused = np.ones(n, bool)
+    index = Bm25(terms, counts, corpus)
+    unused = sizes > 0
     made = []
-    for seed in np.argsort(-sizes, kind="stable"):
+    order = np.argsort(-sizes, kind="stable")
+    scored: dict[int, np.ndarray] = {}
+    for at, seed in enumerate(order):
         if not unused[seed]:
+            scored.pop(seed, None)
             continue
+        if seed not in scored:
+            ahead = order[at : at + 4 * BLOCK]
+            ahead = ahead[unused[ahead]][:BLOCK]
+            scored = dict(zip(ahead.tolist(), index.scores([terms[i] for i in ahead])))
+        scores = scored.pop(int(seed))
         unused[seed] = False
         container, room = [int(seed)], capacity - int(sizes[seed])
-        scores = None
         while room > 0:
             fits = np.flatnonzero(unused & (sizes <= room))
             if not len(fits):
                 break
-            if scores is None and room > CLOSING * capacity:
-                scores = index.scores(terms[seed])
+            left = room - sizes[fits]
+            closing = fits[left <= SLACK * capacity]
             if room <= CLOSING * capacity:
-                best = fits[np.argmax(sizes[fits])]
+                best = closing[np.argmax(scores[closing])] if len(closing) else fits[np.argmin(left)]
             else:
                 best = fits[np.argmax(scores[fits])]
-                left = room - sizes[best]
-                if 0 < left <= CLOSING * capacity and not (unused & (sizes <= left)).sum() > 1:
-                    best = fits[np.argmax(sizes[fits])]
+                rest = room - sizes[best]
+                if SLACK * capacity < rest <= CLOSING * capacity and len(closing) and not (unused & (sizes <= rest)).sum() > 1:
+                    best = closing[np.argmax(scores[closing])]
             unused[best] = False
             container.append(int(best))
             room -= int(sizes[best])
         made.append(container)
+    empty = np.flatnonzero(sizes == 0).tolist()
+    if empty:
+        made = [made[0] + empty, *made[1:]] if made else [empty]
     return made
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """One row for each piece of a document: id, piece_no, container_id, first_token, n_tokens.
+class Router:
+    """Nearest of a few lexical centroids, fitted on a bounded sample by spherical k-means."""
 
-    * A document of at most ``capacity`` tokens is one piece; a longer one is cut into full
-      containers and a rest, which is packed like a document.
-    * Null and empty texts are one piece of 0 tokens in some container of their task.
-    * Each row is packed by itself, also if its id or text is repeated or its id null.
-    * No shuffle: shards are runs of the rows of a task, at most SHARD_ITEMS items each, so memory
-      has a bound and a lost task is redone alone. Container ids are unique over all tasks.
-    """
+    def __init__(self, corpus: Corpus, sample: list[tuple[np.ndarray, np.ndarray]], clusters: int, seed: int = 7, rounds: int = 8):
+        self.corpus = corpus
+        x = self.vectors(sample)
+        rng = np.random.default_rng(seed)
+        clusters = max(1, min(clusters, len(x)))
+        # Each next first centroid is the item farthest from those before.
+        chosen = [int(rng.integers(len(x)))] if len(x) else []
+        near = x @ x[chosen[0]] if chosen else np.empty(0)
+        while len(chosen) < clusters:
+            chosen.append(int(np.argmin(near)))
+            near = np.maximum(near, x @ x[chosen[-1]])
+        self.centroids = x[chosen].copy() if chosen else np.zeros((1, DIMENSIONS), np.float32)
+        for _ in range(rounds):
+            of = np.argmax(x @ self.centroids.T, axis=1) if len(x) else np.empty(0, int)
+            for k in range(len(self.centroids)):
+                if (of == k).any():
+                    mean = x[of == k].mean(axis=0)
+                    self.centroids[k] = mean / max(float(np.linalg.norm(mean)), 1e-9)
+
+    def vectors(self, items: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Normalised tf-idf vectors of the items, hashed with signs to DIMENSIONS places."""
+        if not items:
+            return np.zeros((0, DIMENSIONS), np.float32)
+        row = np.repeat(np.arange(len(items)), [len(t) for t, _ in items])
+        term = np.concatenate([t for t, _ in items]).astype(np.int64)
+        idf = self.corpus.idf[np.minimum(term, len(self.corpus.idf) - 1)]
+        mixed = term * 0x9E3779B1 & 0xFFFFFFFF
+        value = np.log1p(np.concatenate([c for _, c in items])) * idf * np.where(mixed >> 31, 1.0, -1.0)
+        x = np.bincount(row * DIMENSIONS + (mixed >> 8) % DIMENSIONS, weights=value, minlength=len(items) * DIMENSIONS).reshape(len(items), DIMENSIONS)
+        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+    def clusters(self, items: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return np.argmax(self.vectors(items) @ self.centroids.T, axis=1)
+
+
+def _items(batch) -> list[tuple[np.ndarray, np.ndarray]]:
+    columns = (batch.column(c) for c in ("terms", "counts"))
+    return list(zip(*([np.asarray(x.values, np.int32) for x in c] for c in columns)))
+
+
+def pieces_of(df: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str | None) -> DataFrame:
+    """The pieces of all documents; those that fill a container have it, the others their tokens' counts."""
     path = vocabulary or vocabulary_path()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(source.dtypes)["id"]
 
     def run(batches):
         encode = encoder(path).encode
-        base = TaskContext.get().partitionId() << 33
-        made = 0
-        items: list[tuple] = []  # (id, piece_no, first_token, n_tokens, terms, counts)
-        out: list[tuple] = []
-        zeros: list[tuple] = []
-
-        def close(last: bool):
-            nonlocal made, items
-            sizes = np.array([x[3] for x in items], np.int64)
-            kept = []
-            for container in fill(sizes, [x[4] for x in items], [x[5] for x in items], capacity):
-                if not last and sizes[container].sum() < FULL * capacity and len(kept) + len(container) <= SHARD_ITEMS // 4:
-                    kept += [items[i] for i in container]
-                    continue
-                out.extend((*items[i][:4], base + made) for i in container)
-                made += 1
-            items = kept
-
-        def flush():
-            rows = [out.copy(), out.clear()][0]
-            columns = list(zip(*rows)) or [()] * 5
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], schema.field("id").type), pa.array(columns[1], pa.int32()), pa.array(columns[4], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())],
-                names=["id", "piece_no", "container_id", "first_token", "n_tokens"],
-            )
-
-        schema = None
+        base, made = (1 << 62) + (TaskContext.get().partitionId() << 36), 0
         for batch in batches:
-            schema = batch.schema
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            at, rows = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.array(encode(text), np.int32)
-                if not len(ids):
-                    zeros.append((key, 0, 0, 0))
-                    if len(zeros) >= 100_000:
-                        out.extend((*z, base + made) for z in zeros)
-                        made += 1
-                        zeros.clear()
-                        yield flush()
-                    continue
-                for piece, first in enumerate(range(0, len(ids), capacity)):
+                for piece, first in enumerate(range(0, max(len(ids), 1), capacity)):
                     part = ids[first : first + capacity]
+                    at.append(i)
                     if len(part) == capacity:
-                        out.append((key, piece, first, capacity, base + made))
+                        rows.append((piece, first, capacity, base + made, None, None))
                         made += 1
                     else:
-                        items.append((key, piece, first, len(part), *np.unique(part, return_counts=True)))
-                if len(items) >= SHARD_ITEMS:
-                    close(False)
-                    yield flush()
-        if schema is not None:
-            close(True)
-            if zeros:
-                # Zero room: they join the task's last container, or make one if there is none.
-                out.extend((*z, base + max(made - 1, 0)) for z in zeros)
-            yield flush()
-
-    packed = source.mapInArrow(run, f"id {kind}, piece_no int, container_id bigint, first_token bigint, n_tokens bigint")
+                        rows.append((piece, first, len(part), None, *np.unique(part, return_counts=True)))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int32())), *columns], names=["id", "piece_no", "first_token", "n_tokens", "container_id", "terms", "counts"])
+
+    return source.mapInArrow(run, LONG.format(kind=kind))
+
+
+def corpus_of(items: DataFrame) -> Corpus:
+    """Exact document frequencies; as many rows as the vocabulary has entries at most."""
+    n, mean = items.agg(F.count(F.lit(1)), F.coalesce(F.avg("n_tokens"), F.lit(1.0))).first()
+    df = items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toPandas()
+    return Corpus(n, float(mean), df["term"].to_numpy(np.int64), df["df"].to_numpy(np.int64))
+
+
+def route(items: DataFrame, corpus: Corpus, shard_items: int = SHARD_ITEMS) -> tuple[DataFrame, int]:
+    """The items with their ``shard``, and the number of shards. Clusters that are alike share a shard
+    as long as it has at most ``shard_items``; a cluster of more items, however large, is dealt out by
+    a hash, and items without tokens are dealt out over all shards."""
+    spark = items.sparkSession
+    drawn = items.where("n_tokens > 0").orderBy(F.xxhash64("terms", "first_token"), F.hash("counts")).limit(SAMPLE_ITEMS).select("terms", "counts").toArrow()
+    wanted = min(MOST_CLUSTERS, max(16, -(-4 * corpus.n // shard_items)))
+    centroids = Router(corpus, _items(drawn), wanted)
+    router = spark.sparkContext.broadcast(centroids)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.append_column("cluster", pa.array(router.value.clusters(_items(batch)), pa.int32())) if batch.num_rows else batch.append_column("cluster", pa.array([], pa.int32()))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes)
+    placed = items.mapInArrow(run, schema + ", cluster int")
+    sizes = placed.where("n_tokens > 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy("cluster").collect()
+    parts, first, total = {}, {}, 0
+    for group in merged(centroids.centroids, {r["cluster"]: r["n"] for r in sizes}, shard_items):
+        need = -(-sum(n for _, n in group) // shard_items)
+        for cluster, _ in group:
+            parts[cluster], first[cluster] = need, total
+        total += need
+    total = max(total, 1)
+    spread = F.xxhash64("terms", "id", "piece_no", "first_token")
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("cluster")] if d else F.lit(1)
+    shard = F.when(F.col("n_tokens") > 0, table(first) + F.pmod(spread, table(parts))).otherwise(F.pmod(spread + F.monotonically_increasing_id(), F.lit(total)))
+    return placed.withColumn("shard", shard.cast("bigint")).drop("cluster"), total
+
+
+def merged(centroids: np.ndarray, sizes: dict[int, int], most: int) -> list[list[tuple[int, int]]]:
+    """Groups of (cluster, size): the most similar ones join first, as long as a group has at most ``most`` items."""
+    groups = {k: [(k, n)] for k, n in sizes.items()}
+    of = {k: k for k in sizes}
+    alike = centroids @ centroids.T
+    pairs = sorted(((-float(alike[a, b]), a, b) for a in sizes for b in sizes if a < b and alike[a, b] >= ALIKE))
+    for _, a, b in pairs:
+        x, y = groups[of[a]], groups[of[b]]
+        if x is not y and sum(n for _, n in x) + sum(n for _, n in y) <= most:
+            gone = of[b]
+            for k, _ in y:
+                of[k] = of[a]
+            x += groups.pop(gone)
+    return list(groups.values())
+
+
+def _packer(capacity: int, shared, base: int, last: bool):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n_tokens", "descending"), ("id", "ascending"), ("piece_no", "ascending")]).combine_chunks()
+        items = _items(table.to_batches()[0]) if table.num_rows else []
+        sizes = table.column("n_tokens").to_numpy()
+        of = np.full(len(sizes), -1, np.int64)
+        for no, container in enumerate(fill(sizes, [t for t, _ in items], [c for _, c in items], capacity, shared.value)):
+            if last or sizes[container].sum() >= FULL * capacity or not sizes[container].any():
+                of[container] = base + (key[0].as_py() << 32) + no
+        open_ = of < 0
+        ids = pa.array(of, pa.int64(), mask=open_)
+        lists = [pa.array([x[k] if w else None for x, w in zip(items, open_)], pa.list_(pa.int32())) for k in (0, 1)]
+        names = ["id", "piece_no", "first_token", "n_tokens"]
+        return pa.table([*(table.column(c) for c in names), ids, *lists, table.column("shard")], names=[*names, "container_id", "terms", "counts", "shard"])
+
+    return run
+
+
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """One row for each piece of a document: id, piece_no, container_id, first_token, n_tokens.
+
+    * A document of at most ``capacity`` tokens is one piece; a longer one is cut into full
+      containers and a rest, which is packed like a document.
+    * Null and empty texts are one piece of 0 tokens in some container.
+    * Each row is packed by itself, also if its id or text is repeated or its id null.
+    * The texts aren't shuffled, only the distinct tokens of the items, once; a shard has about
+      ``shard_items`` items, so memory has a bound. Container ids are unique.
+    """
+    pieces = cut(pieces_of(df, id_col, text_col, capacity, vocabulary))
+    items = pieces.where("container_id is null")
+    corpus = corpus_of(items.where("n_tokens > 0"))
+    shared = df.sparkSession.sparkContext.broadcast(corpus)
+    placed, shards = route(items, corpus, shard_items)
+    schema = ", ".join(f"`{n}` {t}" for n, t in placed.dtypes)
+    tasks = min(shards, 20_000)
+    once = cut(placed.repartition(tasks, "shard").groupBy("shard").applyInArrow(_packer(capacity, shared, 0, shards == 1), schema))
+    out = ["id", "piece_no", "container_id", "first_token", "n_tokens"]
+    packed = pieces.where("container_id is not null").select(*out).unionByName(once.where("container_id is not null").select(*out))
+    if shards > 1:
+        groups = -(-shards // FAN)
+        rest = once.where("container_id is null").withColumn("shard", F.pmod("shard", F.lit(groups)))
+        packed = packed.unionByName(rest.groupBy("shard").applyInArrow(_packer(capacity, shared, 1 << 61, True), schema).select(*out))
     return packed.withColumnRenamed("id", id_col)
 
 

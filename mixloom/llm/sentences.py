@@ -153,6 +153,9 @@ def word_start(text: str, at: int, dots: bool = True) -> int:
 
 def word_before(text: str, at: int, dots: bool = True) -> str:
     """The word, with or without the stops inside it, right before a full stop; none if it has digits."""
+    token = text[max(0, at - 24) : at].split()[-1:]
+    if token and len(token[0]) < 24 and token[0].isascii() and token[0].isalpha():
+        return token[0]
     word = _LAST_WORD.search(text[word_start(text, at, dots) : at])
     return word[0] if word and not _DIGIT.search(word[0]) else ""
 
@@ -276,6 +279,7 @@ class Document:
 
     def __init__(self, text: str):
         self.text = text
+        self.kinds: dict[str, str] = {}
 
     @cached_property
     def continued(self) -> frozenset:
@@ -326,6 +330,13 @@ class Splitter:
         return self.evidence.common(word) if told is None else told
 
     def kind_of(self, word: str) -> str:
+        """The kind of a word, told once a document."""
+        kinds = self.document.kinds
+        if word not in kinds:
+            kinds[word] = self._kind_of(word)
+        return kinds[word]
+
+    def _kind_of(self, word: str) -> str:
         """initial, title, numeric, inner, ender, abbreviation or '' of a token before a full stop.
 
         The document tells whether it is an abbreviation if its occurrences agree, else the corpus,
