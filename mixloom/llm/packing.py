@@ -158,7 +158,7 @@ class Router:
         # Each next first centroid is the item farthest from those before.
         chosen = [int(rng.integers(len(x)))] if len(x) else []
         near = x @ x[chosen[0]] if chosen else np.empty(0)
-        while len(chosen) < clusters:
+        while chosen and len(chosen) < clusters:
             chosen.append(int(np.argmin(near)))
             near = np.maximum(near, x @ x[chosen[-1]])
         self.centroids = x[chosen].copy() if chosen else np.zeros((1, DIMENSIONS), np.float32)
@@ -231,7 +231,7 @@ def route(items: DataFrame, corpus: Corpus, shard_items: int = SHARD_ITEMS) -> t
     a hash, and items without tokens are dealt out over all shards."""
     spark = items.sparkSession
     drawn = items.where("n_tokens > 0").orderBy(F.xxhash64("terms", "first_token"), F.hash("counts")).limit(SAMPLE_ITEMS).select("terms", "counts").toArrow()
-    wanted = min(MOST_CLUSTERS, max(16, -(-4 * corpus.n // shard_items)))
+    wanted = min(MOST_CLUSTERS, max(16, -(-4 * corpus.n // shard_items)), -(-corpus.n // 64))
     centroids = Router(corpus, _items(drawn), wanted)
     router = spark.sparkContext.broadcast(centroids)
 

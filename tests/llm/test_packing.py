@@ -30,9 +30,9 @@ def test_neighbours_lie_in_the_items_own_shard(spark, sf):
     shard, ids = t["shard"].to_numpy(), t["id"].to_numpy()
     whole = packing.Bm25(terms, counts, corpus)
     recall = []
-    for i in np.flatnonzero(ids % 50 == 0):
+    for i in range(len(ids)):
         scores = whole.scores([terms[i]])[0]
-        assert np.allclose(scores, neighbours(terms, counts, corpus, terms[i]), rtol=1e-3, atol=1e-3)
+        assert ids[i] % 50 or np.allclose(scores, neighbours(terms, counts, corpus, terms[i]), rtol=1e-3, atol=1e-3)
         scores[i] = -1
         top = np.argsort(-scores, kind="stable")[:10]
         recall.append(np.mean(shard[top] == shard[i]))
