@@ -6,12 +6,15 @@ with a word put in between; in scripts without spaces a run of at least 20 chara
 * Both sides become sequences of normalised tokens; item windows become sets of token shingles.
 * A window of 12 words has 10 shingles of three words; two edits destroy at most six, so at least
   four survive (a shingle of five words, usual elsewhere, could lose all).  With the shingles of a
-  window ordered by their rarity in the corpus, one of its 7 rarest (10 - 4 + 1) must occur in the
-  message: only those are joined.  For characters all 13 shingles of a window must occur, so one,
-  the rarest, is enough.
-* Candidates must have the surviving number of shingles within an item-sized stretch (length and
-  positional bound), and are then verified exactly by extending each shared shingle to both sides
-  with at most two edits.
+  window ordered by their rarity in the corpus, two of its 8 rarest (10 - 4 + 2) must occur in the
+  message: only those are joined.  For characters all 13 shingles of a window must occur, so its two
+  rarest are enough.
+* Messages are cut into overlapping segments, so that every passage lies inside of one; segments
+  without the surviving number of shingles within an item-sized stretch are left out.
+* A pair of item and segment is a candidate if two of the joined shingles lie in one window of the
+  item and as far from each other in the message, but for the edits (length and positional bound).
+  Only candidates meet their texts, and are verified exactly by extending each shared shingle to
+  both sides with at most two edits.
 """
 
 from __future__ import annotations
@@ -32,18 +35,21 @@ WORD_RUN, WORD_EDITS, WORD_SHINGLE = 12, 2, 3
 CHAR_RUN, CHAR_SHINGLE = 20, 8
 #: Shingles of a window that survive the edits, and the length of its prefix.
 SURVIVE = (WORD_RUN - WORD_SHINGLE + 1) - WORD_EDITS * WORD_SHINGLE
-PREFIX = (WORD_RUN - WORD_SHINGLE + 1) - SURVIVE + 1
+MATCHES = 2
+PREFIX = (WORD_RUN - WORD_SHINGLE + 1) - SURVIVE + MATCHES
+#: New tokens of a segment, and those it shares with its neighbours at either side.
+SEGMENT, SHARED = 96, 32
 #: Characters of scripts without spaces that make an item a character item.
 DENSE = 8
 
 _CF = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Cf", "Cc") and chr(c) not in "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85") + "]+")
-_TAG = re.compile(r"(?<!<)(?:</?[a-z][^<>]{0,198}|<![^<>]{1,198})>(?!>)")
+_TAG = re.compile(r"(?<!<)(?:</?[a-z][^<>]*|<![^<>]+)>(?!>)")
 _ESCAPE = re.compile(r"\\[nrt]")
 _INNER = re.compile(r"[.,](?<=\d[.,])(?=\d)|['’](?<=[^\W\d_]['’])(?=[^\W\d_])|_")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
-_HAN = re.compile(r"[⺀-⿟々-〇぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
-_ODD_DIGIT = re.compile(r"[^\x00-\x7f]")
+#: Han, kana, Thai, Lao, Burmese and Khmer.
+_UNSPACED = re.compile(r"[⺀-⿟々-〇぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff]")
 
 
 def _plain(text: str) -> str:
@@ -68,7 +74,7 @@ def words_of(plain: str) -> list[str]:
 
 def is_dense(plain: str) -> bool:
     """Whether a text is written without spaces between words."""
-    return not plain.isascii() and len(_HAN.findall(plain)) >= DENSE
+    return not plain.isascii() and len(_UNSPACED.findall(plain)) >= DENSE
 
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -117,17 +123,22 @@ class Bitmap:
     """Which shingle hashes can be an item's: no false negatives, of bounded size (at most 32 MB)."""
 
     def __init__(self, expected: int):
-        bits = min(28, max(20, int(np.ceil(np.log2(max(expected, 1)))) + 11))
-        self.mask = np.uint64((1 << bits) - 1)
-        self.bytes = np.zeros(1 << (bits - 3), np.uint8)
-
-    def add(self, hashes: np.ndarray) -> None:
-        at = hashes.view(np.uint64) & self.mask
-        np.bitwise_or.at(self.bytes, at >> np.uint64(3), (1 << (at & np.uint64(7))).astype(np.uint8))
+        self.bits = min(28, max(20, int(np.ceil(np.log2(max(expected, 1)))) + 11))
+        self.mask = np.uint64((1 << self.bits) - 1)
+        self.words = np.zeros(1 << (self.bits - 6), np.int64)
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> "Bitmap":
+        """The bitmap of a column ``hash``, put together by the executors; at most 2^22 words come back."""
+        made = cls(hashes.count())
+        low = F.col("hash").bitwiseAND(int(made.mask))
+        words = hashes.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+        made.words[words["at"].to_numpy()] = words["word"].to_numpy()
+        return made
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes.view(np.uint64) & self.mask
-        return (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return (self.words[at >> np.uint64(6)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def item_table(items: DataFrame) -> DataFrame:
@@ -156,15 +167,28 @@ def _within(places: np.ndarray, n: int, span: int) -> bool:
     return len(places) >= n and bool((places[n - 1 :] - places[: len(places) - n + 1] < span).any())
 
 
-def message_hits(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
-    """Messages that share shingles with the items: row_id, message_no, dense, tokens, hits (hash, place).
+def segments(at: np.ndarray, h: np.ndarray, tokens, dense: bool):
+    """(segment, its tokens, hashes, places in it) of the segments of a message that can hold a passage.
 
-    ``tokens`` is null where too few shingles lie close enough together for a passage; those
-    messages count for the rarity only.
+    ``at`` are the places of the shared shingles ``h``. Each segment sees SHARED tokens on either
+    side of its own, so a passage that begins inside of it lies inside of it as a whole.
     """
+    need, span = (CHAR_RUN - CHAR_SHINGLE + 1, CHAR_RUN) if dense else (SURVIVE, WORD_RUN + WORD_EDITS)
+    if not _within(at, need, span):
+        return
+    for segment in np.unique(at // SEGMENT).tolist():
+        first, last = max(0, segment * SEGMENT - SHARED), (segment + 1) * SEGMENT + SHARED
+        inside = slice(*np.searchsorted(at, (first, last - (CHAR_SHINGLE if dense else WORD_SHINGLE) + 1)))
+        if _within(at[inside], need, span):
+            part = tokens[first:last]
+            yield segment, part if dense else " ".join(part), h[inside].tolist(), (at[inside] - first).tolist()
+
+
+def message_hits(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
+    """Segments of messages that share shingles with the items: row_id, message_no, segment, dense,
+    tokens, hashes, places; and, with a null ``tokens``, how often each hash occurs in a batch."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
     source = rows.where("row_id is not null and messages is not null").select("row_id", F.transform("messages", lambda m: m["content"]).alias("contents"))
-    longest = WORD_RUN + WORD_EDITS
 
     def run(batches):
         known = shared.value
@@ -172,6 +196,7 @@ def message_hits(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
             # The words of all messages of a batch make one sequence, whose shingles are looked up
             # at once; those that cross from one message into the next are left out.
             out: list[tuple] = []
+            seen: list[np.ndarray] = []
             where, tokens, ends = [], [], [0]
             for key, contents in zip(batch.column("row_id").to_pylist(), batch.column("contents").to_pylist()):
                 for no, text in enumerate(contents):
@@ -187,30 +212,31 @@ def message_hits(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
                         h = char_shingles(chars)
                         at = np.flatnonzero(known.has(h))
                         if len(at):
-                            close = _within(at, CHAR_RUN - CHAR_SHINGLE + 1, CHAR_RUN)
-                            out.append((key, no, True, chars if close else None, h[at].tolist(), at.tolist()))
+                            seen.append(h[at])
+                            out += [(key, no, s, True, *rest) for s, *rest in segments(at, h[at], chars, True)]
             h = word_shingles(tokens)
             hits = np.flatnonzero(known.has(h))
             bounds = np.array(ends)
             of = np.searchsorted(bounds, hits, side="right") - 1
             inside = hits + WORD_SHINGLE <= bounds[of + 1] if len(hits) else np.zeros(0, bool)
             hits, of = hits[inside], of[inside]
+            seen.append(h[hits])
             for group in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(of)) + 1) if len(hits) else ():
                 m = of[group[0]]
-                at = hits[group] - bounds[m]
-                close = _within(at, SURVIVE, longest)
-                words = tokens[bounds[m] : bounds[m + 1]]
-                out.append((*where[m], False, " ".join(words) if close else None, h[hits[group]].tolist(), at.tolist()))
-            c = list(zip(*out)) or [()] * 6
-            kinds = (batch.schema.field("row_id").type, pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["row_id", "message_no", "dense", "tokens", "hashes", "places"])
+                at = hits[group]
+                out += [(*where[m], s, False, *rest) for s, *rest in segments(at - bounds[m], h[at], tokens[bounds[m] : bounds[m + 1]], False)]
+            distinct, n = np.unique(np.concatenate(seen), return_counts=True)
+            out.append((None, None, None, None, None, distinct.tolist(), n.tolist()))
+            c = list(zip(*out))
+            kinds = (batch.schema.field("row_id").type, pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["row_id", "message_no", "segment", "dense", "tokens", "hashes", "places"])
 
     kind = dict(source.dtypes)["row_id"]
-    return source.mapInArrow(run, f"row_id {kind}, message_no int, dense boolean, tokens string, hashes array<bigint>, places array<int>")
+    return source.mapInArrow(run, f"row_id {kind}, message_no int, segment int, dense boolean, tokens string, hashes array<bigint>, places array<int>")
 
 
 def prefixes(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(hash, item_id, place): the shingles of which each passage keeps at least one, by rarity."""
+    """(hash, dense, item_id, place): the shingles of which each passage keeps at least MATCHES, by rarity."""
     exploded = items.select("item_id", "dense", F.posexplode("hashes").alias("place", "hash"))
     joined = exploded.join(counts, "hash", "left").groupBy("item_id", "dense").agg(F.sort_array(F.collect_list(F.struct("place", "hash", F.coalesce("n", F.lit(0)).alias("n")))).alias("shingles"))
 
@@ -220,15 +246,15 @@ def prefixes(items: DataFrame, counts: DataFrame) -> DataFrame:
             for key, dense, shingles in zip(pdf["item_id"], pdf["dense"], pdf["shingles"]):
                 h = [s["hash"] for s in shingles]
                 n = [s["n"] for s in shingles]
-                width, take = (CHAR_RUN - CHAR_SHINGLE + 1, 1) if dense else (WORD_RUN - WORD_SHINGLE + 1, PREFIX)
+                width, take = (CHAR_RUN - CHAR_SHINGLE + 1, MATCHES) if dense else (WORD_RUN - WORD_SHINGLE + 1, PREFIX)
                 chosen = set()
                 for i in range(len(h) - width + 1):
                     chosen.update(sorted(range(i, i + width), key=lambda k: (n[k], h[k]))[:take])
                 # A shingle the corpus doesn't have finds nothing.
-                out += [(h[k], key, k) for k in chosen if n[k]]
-            yield pd.DataFrame(out, columns=["hash", "item_id", "place"])
+                out += [(h[k], dense, key, k) for k in chosen if n[k]]
+            yield pd.DataFrame(out, columns=["hash", "dense", "item_id", "place"])
 
-    return joined.mapInPandas(run, f"hash bigint, item_id {dict(items.dtypes)['item_id']}, place int")
+    return joined.mapInPandas(run, f"hash bigint, dense boolean, item_id {dict(items.dtypes)['item_id']}, place int")
 
 
 def _reach(a, b, p: int, q: int, step: int, edits: int) -> list[int]:
@@ -280,6 +306,25 @@ def holds_passage(item, text, anchors: list[tuple[int, int]], dense: bool) -> bo
     return any(longest_run(item, text, i, j, size, edits) >= need for i, j in anchors)
 
 
+#: More shared shingles of one item and segment than these (repetitive texts) are verified without the bound.
+BOUND_ANCHORS = 64
+
+
+def _in_step(anchors):
+    """Whether two shingles lie in one window of the item and, but for the edits, as far apart in the
+    message: every passage has such."""
+
+    def after(x):
+        def near(y):
+            places, ats = y["place"] - x["place"], y["at"] - x["at"]
+            width, edits = F.when(F.col("dense"), CHAR_RUN - CHAR_SHINGLE + 1).otherwise(WORD_RUN - WORD_SHINGLE + 1), F.when(F.col("dense"), 0).otherwise(WORD_EDITS)
+            return (places > 0) & (places < width) & (F.abs(ats - places) <= edits)
+
+        return F.exists(anchors, near)
+
+    return (F.size(anchors) > BOUND_ANCHORS) | F.exists(anchors, after)
+
+
 def find_leaks(rows: DataFrame, items: DataFrame) -> DataFrame:
     """One row (item_id, row_id) for each item and example of which one message holds a passage.
 
@@ -288,18 +333,15 @@ def find_leaks(rows: DataFrame, items: DataFrame) -> DataFrame:
     the joins are left to the optimizer, which splits hot shingles.
     """
     table = cut(item_table(items))
-    bitmap = Bitmap(table.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0])
-    for item in table.select("hashes").toLocalIterator():
-        bitmap.add(np.array(item[0], np.int64))
-    hits = cut(message_hits(rows, bitmap))
-    pairs = hits.select(F.explode("hashes").alias("hash"))
-    prefix = prefixes(table, pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
-    probes = hits.where("tokens is not null").select("row_id", "message_no", "dense", "tokens", F.explode(F.arrays_zip("hashes", "places")).alias("hit")).select(
-        "row_id", "message_no", "dense", "tokens", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("at")
-    )
-    found = probes.drop("tokens").join(prefix, "hash").groupBy("item_id", "row_id", "message_no", "dense").agg(F.collect_set(F.struct("place", "at")).alias("anchors"))
-    texts = hits.where("tokens is not null").select("row_id", "message_no", "dense", "tokens").dropDuplicates(["row_id", "message_no", "dense"])
-    ready = found.join(texts, ["row_id", "message_no", "dense"]).join(table.select("item_id", F.col("dense").alias("item_dense"), F.col("tokens").alias("item_tokens")), "item_id").where("dense = item_dense")
+    hits = cut(message_hits(rows, Bitmap.of(table.select(F.explode("hashes").alias("hash")))))
+    counts = hits.where("tokens is null").select(F.explode(F.arrays_zip("hashes", "places")).alias("x")).groupBy(F.col("x.hashes").alias("hash")).agg(F.sum("x.places").alias("n"))
+    key = ["row_id", "message_no", "segment", "dense"]
+    parts = hits.where("tokens is not null")
+    probes = parts.select(*key, F.explode(F.arrays_zip("hashes", "places")).alias("hit")).select(*key, F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("at"))
+    anchors = probes.join(prefixes(table, counts), ["hash", "dense"]).groupBy("item_id", *key).agg(F.collect_set(F.struct("place", "at")).alias("anchors"))
+    found = anchors.where(_in_step(F.col("anchors")))
+    texts = parts.select(*key, "tokens").dropDuplicates(key)
+    ready = found.join(texts, key).join(table.select("item_id", "dense", F.col("tokens").alias("item_tokens")), ["item_id", "dense"])
 
     def run(frames):
         for pdf in frames:

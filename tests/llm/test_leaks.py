@@ -80,10 +80,38 @@ def test_empty_tables(spark):
         assert leaks.find_leaks(a, b).collect() == []
 
 
-def test_bitmap_has_no_false_negatives():
+def test_bitmap_has_no_false_negatives(spark):
     import numpy as np
 
     h = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
-    b = leaks.Bitmap(5000)
-    b.add(h)
+    b = leaks.Bitmap.of(spark.createDataFrame([(int(x),) for x in h], "hash bigint"))
     assert b.has(h).all() and b.has(h + 1).mean() < 0.02
+
+
+def test_passages_anywhere_in_long_messages(spark):
+    rng = random.Random(9)
+    item = WORDS[:30]
+    rows = []
+    for at in range(0, 230):
+        part = item[at % 15 : at % 15 + 14]
+        part[3 + at % 8] = "zzchanged"
+        rows.append((at + 100, [("user", " ".join([rng.choice(WORDS[40:]) for _ in range(at)] + part + [rng.choice(WORDS[40:]) for _ in range(200)]))], None, None))
+    items = spark.createDataFrame([(1, " ".join(item), None, None)], ITEMS)
+    assert {r["row_id"] for r in leaks.find_leaks(spark.createDataFrame(rows, TRAIN), items).collect()} == {r[0] for r in rows}
+
+
+def test_repetitive_texts(spark):
+    rows = [(100, [("user", "la " * 3000)], None, None), (101, [("user", " ".join(WORDS[:11] * 300))], None, None), (102, [("user", " ".join(WORDS[:12] * 300))], None, None)]
+    items = [(1, "la " * 200, None, None), (2, " ".join(WORDS[:12]), None, None)]
+    got = {tuple(x) for x in leaks.find_leaks(spark.createDataFrame(rows, TRAIN), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(1, 100), (2, 101), (2, 102)}
+
+
+def test_long_markup_and_unspaced_scripts(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    link = '<a href="' + "very/long/address/" * 20 + '" title="x y">'
+    thai = "ภาษาไทยไม่มีช่องว่างระหว่างคำในประโยคยาวๆแบบนี้"
+    rows = [(100, [("user", item.replace("seven", link + "seven</a>"))], None, None), (101, [("user", "ก่อน" + thai[:25] + "หลัง")], None, None)]
+    items = [(1, item, None, None), (2, thai, None, "th")]
+    got = sorted(tuple(x) for x in leaks.find_leaks(spark.createDataFrame(rows, TRAIN), spark.createDataFrame(items, ITEMS)).collect())
+    assert got == [(1, 100), (2, 101)]
