@@ -305,7 +305,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     shared = df.sparkSession.sparkContext.broadcast(corpus)
     placed, shards = route(items, corpus, shard_items)
     schema = ", ".join(f"`{n}` {t}" for n, t in placed.dtypes)
-    tasks = min(shards, 20_000)
+    # More tasks than shards, so that few shards meet in one.
+    tasks = min(4 * shards, 20_000)
     once = cut(placed.repartition(tasks, "shard").groupBy("shard").applyInArrow(_packer(capacity, shared, 0, shards == 1), schema))
     out = ["id", "piece_no", "container_id", "first_token", "n_tokens"]
     packed = pieces.where("container_id is not null").select(*out).unionByName(once.where("container_id is not null").select(*out))
