@@ -15,17 +15,20 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixloom.functions.names import lang_key
 from mixloom.llm.refusals import refusals
+from mixloom.session import cut
 
-#: Bounds of what the classifiers are fitted on: prompts, and labelled examples for languages.
-SAMPLE_PROMPTS, SAMPLE_LABELLED = 5_000, 6_000
+#: Bounds of what the classifiers are fitted on: prompts, labelled examples for languages, and the
+#: characters of each (at most 180 MB in all). Every entry is classified, whatever its size.
+SAMPLE_PROMPTS, SAMPLE_LABELLED, SAMPLE_CHARS = 5_000, 6_000, 16_384
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 BITS = 18
 SIZE = 1 << BITS
@@ -97,15 +100,6 @@ class _Hashed(dict):
 _hashed = _Hashed()
 
 
-_ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+(?=\S)")
-
-
-def _item_key(line: str) -> str:
-    """A list item without its mark, with digits alike; empty if the line is none."""
-    m = _ITEM.match(line)
-    return " ".join(_tokens(line[m.end() :])) if m else ""
-
-
 class Languages:
     """Multinomial model of words of Latin scripts; other scripts tell the language themselves."""
 
@@ -154,8 +148,13 @@ class Languages:
         return found, sum(found.values())
 
 
+_EVERY_NAME = re.compile("|".join(re.escape(name) for names in _NAMES.values() for name in names.split()))
+
+
 def _asked(prompt: str) -> set[str]:
     low = prompt.lower()
+    if not _EVERY_NAME.search(low):
+        return set()
     return {lang for lang, names in _NAMES.items() if any(name in low for name in names.split())}
 
 
@@ -164,17 +163,34 @@ class Features:
 
     def __init__(self, languages: Languages, known: frozenset[str]):
         self.languages, self.known = languages, known
-        self.items: frozenset[str] = frozenset()
         self._prompt: tuple[str | None, tuple] = (None, ())
+        self._text: tuple[str | None, str, str] = (None, "", "")
 
-    def of(self, prompt: str | None, text: str | None) -> dict[str, np.ndarray]:
-        raw = text or ""
-        clean = plain(raw)
-        # What the answer says comes after the reasoning.
-        answer = _THOUGHT.sub("", clean).strip()
+    def of(self, prompt: str | None, text: str | None, followed: bool = False) -> dict[str, np.ndarray]:
+        """Slots of all defects; ``followed`` says that other responses go on after the last line, a list item."""
+        return {d: self.one(d, prompt, text, followed) for d in DEFECTS}
+
+    def one(self, defect: str, prompt: str | None, text: str | None, followed: bool = False) -> np.ndarray:
+        raw, clean, answer = self._parts(text or "")
         prompt = prompt or ""
-        lists = (self._empty(answer), self._copy(prompt, answer), self._refusal(answer), self._language(prompt, answer), self._truncated(raw.rstrip(), clean))
-        return {d: np.array(x, np.int32) for d, x in zip(DEFECTS, lists)}
+        if defect == "empty":
+            found = self._empty(answer)
+        elif defect == "copy":
+            found = self._copy(prompt, answer)
+        elif defect == "refusal":
+            found = self._refusal(answer)
+        elif defect == "language":
+            found = self._language(prompt, answer)
+        else:
+            found = self._truncated(raw.rstrip(), clean, followed)
+        return np.array(found, np.int32)
+
+    def _parts(self, raw: str) -> tuple[str, str, str]:
+        if self._text[0] != raw:
+            clean = plain(raw)
+            # What the answer says comes after the reasoning.
+            self._text = (raw, clean, _THOUGHT.sub("", clean).strip() if "<" in clean else clean)
+        return self._text
 
     def _empty(self, text: str) -> list[int]:
         if len(text) > 100 and "<" not in text and "[" not in text and _MANY.match(text):
@@ -218,10 +234,7 @@ class Features:
         pairs = set(zip(units, units[1:]))
         both = len(pairs & ppairs) / max(1, len(pairs)) if len(units) > 1 else 0
         back = len(pairs & ppairs) / max(1, len(ppairs))
-        ratio = min(4, len(units) / n)
-        p, r, b, k = int(precision * 10), int(recall * 10), int(both * 10), int(back * 10)
-        out = [f"c:p{p}", f"c:r{r}", f"c:b{b}", f"c:k{k}", f"c:pr{p}.{r}", f"c:bk{b}.{k}", f"c:min{min(p, r)}", f"c:minb{min(b, k)}", f"c:ratio{int(ratio * 3)}", f"c:echo{echo}", f"c:echomin{echo}{min(p, r)}", f"c:n{min(len(units), 10)}"]
-        return [slot(x) for x in out]
+        return _copy_slots(int(precision * 10), int(recall * 10), int(both * 10), int(back * 10), int(min(4, len(units) / n) * 3), echo, min(len(units), 10))
 
     def _refusal(self, text: str) -> np.ndarray:
         tokens = _tokens(text.replace("’", "'"))
@@ -253,10 +266,9 @@ class Features:
         inside = sum(k for lang, k in mine.items() if lang in allowed) / told
         other = max((k for lang, k in mine.items() if lang not in allowed), default=0) / told
         sure = max(found.values()) / n
-        out = [f"l:in{int(inside * 10)}", f"l:out{int(other * 10)}", f"l:half{other > 0.5}", f"l:told{min(6, int(math.log2(told)))}", f"l:outtold{int(other * 5)}.{min(6, int(math.log2(told)))}", f"l:sure{int(sure * 4)}.{other > 0.5}", f"l:asked{bool(asked)}.{other > 0.5}"]
-        return [slot(x) for x in out]
+        return _language_slots(int(inside * 10), int(other * 10), int(other * 5), other > 0.5, min(6, int(math.log2(told))), int(sure * 4), bool(asked))
 
-    def _truncated(self, raw: str, text: str) -> list[int]:
+    def _truncated(self, raw: str, text: str, followed: bool) -> list[int]:
         if not text:
             return [slot("t:none")]
         ends = text.rstrip(_CLOSING)[-1:] in _TERMINALS
@@ -265,7 +277,7 @@ class Features:
         tokens = ["0" if t[0].isdigit() else t.lower() for t in pieces[-6:]]
         end = text[-1]
         kind = "L" if end.isalpha() else "D" if end.isdigit() else end
-        out = [f"t:end{kind}", f"t:ends{ends}", f"t:fence{fences}"]
+        out = [f"t:end{kind}", f"t:ends{ends}", f"t:fence{fences}"] + ([f"t:followed{k}" for k in range(FOLLOWED_SLOTS)] if followed else [])
         for k in range(1, min(7, len(tokens) + 1)):
             out.append(f"t:w{k}:" + " ".join(tokens[-k:]))
         last_line = text.rsplit("\n", 1)[-1].strip()
@@ -300,6 +312,20 @@ class Features:
         return [slot(x) for x in out]
 
 
+@lru_cache(100_000)
+def _copy_slots(p: int, r: int, b: int, k: int, ratio: int, echo: bool, n: int) -> list[int]:
+    out = [f"c:p{p}", f"c:r{r}", f"c:b{b}", f"c:k{k}", f"c:pr{p}.{r}", f"c:bk{b}.{k}", f"c:min{min(p, r)}", f"c:minb{min(b, k)}", f"c:ratio{ratio}", f"c:echo{echo}", f"c:echomin{echo}{min(p, r)}", f"c:n{n}"]
+    return [slot(x) for x in out]
+
+
+@lru_cache(100_000)
+def _language_slots(inside: int, other: int, fifth: int, half: bool, told: int, sure: int, asked: bool) -> list[int]:
+    out = [f"l:in{inside}", f"l:out{other}", f"l:half{half}", f"l:told{told}", f"l:outtold{fifth}.{told}", f"l:sure{sure}.{half}", f"l:asked{asked}.{half}"]
+    return [slot(x) for x in out]
+
+
+#: One fact beside dozens of n-grams needs several slots to weigh as much as they do together.
+FOLLOWED_SLOTS = 8
 _TERMINALS, _CLOSING = frozenset(".!?…。！？｡।॥؟۔"), "\"”»“’)]』」》）】*_`"
 
 
@@ -478,9 +504,35 @@ def _short(rng: np.random.Generator) -> str:
     return kinds[int(rng.integers(len(kinds)))]
 
 
-def train(sample: list[tuple[str, list[str | None]]], labelled: list[tuple[str, str]], seed: int = 7) -> tuple[Features, dict[str, Linear]]:
+def _extract(features: Features, jobs: list[tuple], spark: SparkSession | None) -> list[dict[str, np.ndarray]]:
+    """Features of (defect or none for all, prompt, text, followed), in the order of the jobs."""
+    kinds = lambda d: (d,) if d else DEFECTS
+    if spark is None or not jobs:
+        return [{k: features.one(k, p, t, x) for k in kinds(d)} for d, p, t, x in jobs]
+    shared = spark.sparkContext.broadcast(features)
+    columns = list(zip(*jobs))
+    names, types = ("defect", "prompt", "text", "followed"), (pa.string(), pa.string(), pa.string(), pa.bool_())
+    table = pa.table([pa.array(range(len(jobs)), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=["at", *names])
+
+    def run(batches):
+        for batch in batches:
+            rows = [(at, k, shared.value.one(k, p, t, x)) for at, d, p, t, x in zip(*(c.to_pylist() for c in batch.columns)) for k in kinds(d)]
+            at, defect, slots = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(defect, pa.string()), pa.array(slots, pa.list_(pa.int32()))], names=["at", "defect", "slots"])
+
+    found = spark.createDataFrame(table).repartition(max(1, min(64, len(jobs) // 400))).mapInArrow(run, "at bigint, defect string, slots array<int>").toArrow()
+    out: list[dict[str, np.ndarray]] = [{} for _ in jobs]
+    for batch in found.to_batches():
+        for at, d, slots in zip(batch["at"].to_pylist(), batch["defect"].to_pylist(), batch["slots"]):
+            out[at][d] = np.asarray(slots.values)
+    return out
+
+
+def train(sample: list[tuple[str, list[str | None]]], labelled: list[tuple[str, str]], followed: list[list[bool]] | None = None, seed: int = 7, spark: SparkSession | None = None) -> tuple[Features, dict[str, Linear]]:
     """Features and one calibrated model for each defect, from sampled prompts with their responses
-    and from texts with a known language. The same input gives the same models."""
+    and from texts with a known language. ``followed`` says of each response whether its last line is
+    a list item after which others go on. The same input gives the same models. With a session the
+    features of the examples are computed by its executors."""
     rng = np.random.default_rng(seed)
     languages = Languages(labelled)
     whole = Counter()
@@ -493,9 +545,7 @@ def train(sample: list[tuple[str, list[str | None]]], labelled: list[tuple[str,
         whole.update(w.lower() for w in set(re.findall(r"[^\W\d_]+(?=[^\w])", t)))
     features = Features(languages, frozenset(w for w, n in whole.items() if n >= 2))
     natural = [(p, t) for p, outputs in sample for t in outputs]
-    # List items that another line follows are whole.
-    followed = Counter(k for _, t in natural if t for line in t.rstrip().split("\n")[:-1] if (k := _item_key(line)))
-    features.items = frozenset(k for k, n in followed.items() if n >= 2)
+    goes_on = [x for flags in followed for x in flags] if followed else [False] * len(natural)
     by_lang: dict[str, list[str]] = {}
     for p, t in natural:
         if t and len(t) > 30:
@@ -503,7 +553,7 @@ def train(sample: list[tuple[str, list[str | None]]], labelled: list[tuple[str,
             if n >= 20 and max(found.values()) > 0.9 * n:
                 by_lang.setdefault(max(found, key=found.get), []).append(t)
     bad = {d: np.zeros(len(natural), bool) for d in DEFECTS}
-    nfeats = [features.of(p, t) for p, t in natural]
+    nfeats = _extract(features, [(None, p, t, x) for (p, t), x in zip(natural, goes_on)], spark)
     decline = refusals(rng, 4000)
     models: dict[str, Linear] = {}
     good = [i for i in range(len(natural)) if natural[i][1]]
@@ -539,9 +589,11 @@ def train(sample: list[tuple[str, list[str | None]]], labelled: list[tuple[str,
         made["empty"].append((some(), _emptied(rng)))
         extra.append((some(), _short(rng)))
     origin += [-1] * (len(extra) - len(origin))
-    extra_feats = [features.of(p, t) for p, t in extra]
-    made_feats = {d: [features.of(p, t)[d] for p, t in made[d]] for d in DEFECTS}
-    others = {d: [features.of(p, t)[d] for o in ("refusal", "copy") if o != d for p, t in made[o][:1500]] if d in ("truncated", "refusal") else [] for d in DEFECTS}
+    others = {d: [x for o in ("refusal", "copy") if o != d for x in made[o][:1500]] if d in ("truncated", "refusal") else [] for d in DEFECTS}
+    jobs = [(None, p, t, False) for p, t in extra] + [(d, p, t, False) for part in (made, others) for d in DEFECTS for p, t in part[d]]
+    feats = iter(_extract(features, jobs, spark))
+    extra_feats = [next(feats) for _ in extra]
+    made_feats, others = ({d: [next(feats)[d] for _ in part[d]] for d in DEFECTS} for part in (made, others))
     doubtful = {d: np.zeros(len(natural), bool) for d in DEFECTS}
     cut_off = np.array([_broken_off(t) for _, t in natural], bool)
     # The sample's own responses hold broken ones: a short first fit only finds which are doubtful,
@@ -573,48 +625,129 @@ def train(sample: list[tuple[str, list[str | None]]], labelled: list[tuple[str,
     return features, models
 
 
-def classify(features: Features, models: dict[str, Linear], pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
+def classify(features: Features, models: dict[str, Linear], pairs: list[tuple], followed: list[bool] | None = None) -> list[str | None]:
     """The defect of each pair, or none. An entry gets the defect whose model is surest."""
     if not pairs:
         return []
-    feats = [features.of(p, t) for p, t in pairs]
+    feats = [features.of(p, t, x) for (p, t), x in zip(pairs, followed or [False] * len(pairs))]
     scores = np.stack([models[d].margins([f[d] for f in feats]) - math.log(models[d].threshold / (1 - models[d].threshold)) if models[d].threshold < 1 else np.full(len(pairs), -1.0) for d in DEFECTS])
-    for i in np.flatnonzero(scores[4] >= 0):
-        if _item_key(plain(pairs[i][1] or "").rsplit("\n", 1)[-1]) in features.items:
-            scores[4, i] = -1.0
     best = scores.argmax(axis=0)
     return [("empty" if scores[0, i] >= 0 else DEFECTS[best[i]]) if scores[:, i].max() >= 0 else None for i in range(len(pairs))]
 
 
-def find_defects(completions: DataFrame, labelled: DataFrame) -> DataFrame:
+def save(fitted: tuple[Features, dict[str, Linear]], spark: SparkSession, path: str) -> None:
+    """Writes fitted models, as plain numbers and words, to a table."""
+    features, models = fitted
+    lang = features.languages
+    rows = [("word", w, 0, None) for w in sorted(features.known)] + [("language", x, i, None) for i, x in enumerate(lang.langs)] + [("score", w, 0, [float(x) for x in v]) for w, v in sorted(lang.scores.items())]
+    for d, m in models.items():
+        at = np.flatnonzero(m.w)
+        rows += [("weight", d, int(i), [float(m.w[i])]) for i in at] + [("model", d, 0, [float(m.b), float(m.threshold)])]
+    spark.createDataFrame(rows, "kind string, name string, place int, numbers array<double>").coalesce(1).write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[Features, dict[str, Linear]]:
+    """Models written by ``save``."""
+    rows = spark.read.parquet(path).collect()
+    languages = Languages([])
+    languages.langs = [r["name"] for r in sorted((r for r in rows if r["kind"] == "language"), key=lambda r: r["place"])]
+    languages.scores = {r["name"]: list(r["numbers"]) for r in rows if r["kind"] == "score"}
+    models = {d: Linear() for d in DEFECTS}
+    for r in rows:
+        if r["kind"] == "weight":
+            models[r["name"]].w[r["place"]] = r["numbers"][0]
+        elif r["kind"] == "model":
+            models[r["name"]].b, models[r["name"]].threshold = r["numbers"]
+    return Features(languages, frozenset(r["name"] for r in rows if r["kind"] == "word")), models
+
+
+_ITEM = r"(?:[-*•+]|[0-9]+[.)])[ \t\x0B\f]+[^\s]"
+
+
+def _item_key(line: Column) -> Column:
+    """Hash of a list item without its mark, with digits alike; null if the line is none."""
+    rest = F.regexp_replace(F.regexp_replace(line, r"^\s*(?:[-*•+]|[0-9]+[.)])\s+", ""), "[0-9]+", "0")
+    return F.when(line.rlike(r"^\s*" + _ITEM), F.xxhash64(F.lower(F.trim(F.regexp_replace(rest, r"\s+", " ")))))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"\s+$", ""), r"\r\n|[\n\r]")
+
+
+def entries_of(completions: DataFrame) -> DataFrame:
+    """gen_id, text, outputs (texts) and for each output ``last``: the key of its last line if that is a list item."""
+    texts = F.transform("outputs", lambda o: o["text"])
+    source = completions.where("gen_id is not null and outputs is not null").select("gen_id", "text", texts.alias("outputs"))
+    at_end = rf"(?:^|[\n\r])\s*{_ITEM}[^\n\r]*\s*$"
+    return source.withColumn("last", F.transform("outputs", lambda t: F.when(t.rlike(at_end), _item_key(F.element_at(_lines(t), -1)))))
+
+
+def followed_items(entries: DataFrame) -> DataFrame:
+    """Keys of the list items that another line follows at least twice, over all responses."""
+    lines = entries.select(F.explode("outputs").alias("t")).where(F.col("t").rlike(rf"(?:^|[\n\r])\s*{_ITEM}[^\n\r]*[\n\r]")).select(_lines(F.col("t")).alias("lines"))
+    keys = lines.select(F.explode(F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).select(_item_key(F.col("line")).alias("key")).where("key is not null")
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+
+
+def with_followed(entries: DataFrame, items: DataFrame, salts: int = 16) -> DataFrame:
+    """The entries whose ``last`` holds a key, with ``followed``: the keys that are among ``items``.
+
+    Only keys and ids meet the items; a hot key is spread over ``salts``.
+    """
+    asked = entries.select("gen_id", F.explode("last").alias("key")).where("key is not null").distinct().withColumn("salt", F.pmod(F.hash("gen_id"), F.lit(salts)))
+    known = items.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    flags = asked.join(known, ["key", "salt"]).groupBy("gen_id").agg(F.collect_set("key").alias("followed"))
+    return entries.join(flags, "gen_id", "left")
+
+
+def fit(completions: DataFrame, labelled: DataFrame, items: DataFrame | None = None) -> tuple[Features, dict[str, Linear]]:
+    """Models fitted on at most SAMPLE_PROMPTS prompts and SAMPLE_LABELLED labelled examples of at most
+    SAMPLE_CHARS characters each, drawn by a hash of their ids."""
+    entries = entries_of(completions)
+    items = followed_items(entries) if items is None else items
+    small = F.coalesce(F.length("text"), F.lit(0)) + F.aggregate("outputs", F.lit(0), lambda n, t: n + F.coalesce(F.length(t), F.lit(0))) <= SAMPLE_CHARS
+    # Repeats have the same hash, so they lie side by side and are told apart after the top-n.
+    drawn = with_followed(entries.where(small).orderBy(F.xxhash64("gen_id"), "gen_id").limit(SAMPLE_PROMPTS + SAMPLE_PROMPTS // 10), items)
+    unique = {r["gen_id"]: r for r in reversed(drawn.orderBy(F.xxhash64("gen_id"), "gen_id", "text").collect())}
+    chosen = list(unique.values())[-SAMPLE_PROMPTS:]
+    sample = [(r["text"] or "", list(r["outputs"])) for r in chosen]
+    followed = [[k is not None and k in (r["followed"] or ()) for k in r["last"]] for r in chosen]
+    known = labelled.where("row_id is not null and messages is not null").select("row_id", lang_key(F.col("lang")).alias("lang"), F.array_join(F.transform("messages", lambda m: m["content"]), "\n").alias("text"))
+    known = [(r["text"], r["lang"]) for r in known.where(f"lang != 'und' and text != '' and length(text) <= {SAMPLE_CHARS}").orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE_LABELLED).collect()]
+    return train(sample, known, followed, spark=completions.sparkSession)
+
+
+def find_defects(completions: DataFrame, labelled: DataFrame, fitted: tuple[Features, dict[str, Linear]] | None = None) -> DataFrame:
     """One row (gen_id, output_no, defect) for each broken entry of ``outputs``.
 
     * A null entry, a null or blank text is ``empty``; a null or empty list has no entries; a row
       delivered several times gives one row an entry; rows without gen_id are dropped.
     * ``finish_reason`` isn't used: the text decides.
-    * The models are fitted on at most SAMPLE_PROMPTS prompts and SAMPLE_LABELLED labelled
-      examples, drawn by a hash of their ids; every entry is classified, in one narrow pass.
+    * The models are ``fitted`` before (see ``fit``, ``save`` and ``load``) or fitted now on a bounded
+      sample. Every entry is classified where it is read; only rows with a response that ends in a
+      list item are joined, with what all responses tell about that item.
     """
-    spark = completions.sparkSession
-    source = completions.where("gen_id is not null and outputs is not null").select("gen_id", "text", F.transform("outputs", lambda o: o["text"]).alias("outputs"))
-    # Repeats have the same hash, so they lie side by side and are told apart after the top-n.
-    drawn = source.orderBy(F.xxhash64("gen_id"), "gen_id").limit(SAMPLE_PROMPTS + SAMPLE_PROMPTS // 10).collect()
-    sample = [(r["text"] or "", list(r["outputs"])) for r in {r["gen_id"]: r for r in reversed(drawn)}.values()][-SAMPLE_PROMPTS:]
-    known = labelled.where("row_id is not null and messages is not null").select("row_id", lang_key(F.col("lang")).alias("lang"), F.array_join(F.transform("messages", lambda m: m["content"]), "\n").alias("text"))
-    known = [(r["text"], r["lang"]) for r in known.where("lang != 'und' and text != ''").orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE_LABELLED).collect()]
-    fitted = spark.sparkContext.broadcast(train(sample, known))
-    kind = dict(source.dtypes)["gen_id"]
+    entries = entries_of(completions)
+    items = cut(followed_items(entries))
+    shared = completions.sparkSession.sparkContext.broadcast(fitted or fit(completions, labelled, items))
+    kind = dict(entries.dtypes)["gen_id"]
 
     def run(batches):
-        features, models = fitted.value
+        features, models = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                keys, prompts, outputs = (part.column(c).to_pylist() for c in ("gen_id", "text", "outputs"))
+                keys, prompts, outputs, last, followed = (part.column(c).to_pylist() for c in ("gen_id", "text", "outputs", "last", "followed"))
                 where = [(k, j) for k, o in zip(keys, outputs) for j in range(len(o))]
-                found = classify(features, models, [(p, t) for p, o in zip(prompts, outputs) for t in o])
+                flags = [k is not None and k in (known or ()) for ks, known in zip(last, followed) for k in ks]
+                found = classify(features, models, [(p, t) for p, o in zip(prompts, outputs) for t in o], flags)
                 rows = [(k, j, d) for (k, j), d in zip(where, found) if d]
                 c = list(zip(*rows)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], batch.schema.field("gen_id").type), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], names=["gen_id", "output_no", "defect"])
 
-    return source.mapInArrow(run, f"gen_id {kind}, output_no bigint, defect string").dropDuplicates(["gen_id", "output_no"])
+    listed = F.exists("last", lambda k: k.isNotNull())
+    plainly = entries.where(~listed).withColumn("followed", F.lit(None).cast("array<bigint>"))
+    both = plainly.unionByName(with_followed(entries.where(listed), items))
+    found = both.mapInArrow(run, f"gen_id {kind}, output_no bigint, defect string")
+    # Deliveries of one entry are alike; if they weren't, the first defect by name would stand.
+    return found.groupBy("gen_id", "output_no").agg(F.min("defect").alias("defect"))
