@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DOUBLES = "array<double>"
@@ -10,9 +10,10 @@ DOUBLES = "array<double>"
 
 def advantages(df: DataFrame, by: str, reward: str, mode: str = "standard") -> DataFrame:
     """(x - mean) / (population deviation + 1e-8), or x - mean, within each prompt's group."""
-    w = Window.partitionBy(by)
-    centred = F.col(reward) - F.avg(reward).over(w)
-    return df.withColumn("advantage", centred if mode == "centered" else centred / (F.stddev_pop(reward).over(w) + 1e-8))
+    # Aggregates meet the rows in a join, whose hot keys are split; a window would take a group whole.
+    groups = df.groupBy(F.col(by).alias("_by")).agg(F.avg(reward).alias("_m"), F.stddev_pop(reward).alias("_d"))
+    centred = F.col(reward) - F.col("_m")
+    return df.join(groups, F.col(by).eqNullSafe(F.col("_by"))).withColumn("advantage", centred if mode == "centered" else centred / (F.col("_d") + 1e-8)).drop("_by", "_m", "_d")
 
 
 def gae(values: Column, rewards: Column, gamma: float = 1.0, lam: float = 1.0, dones: Column | None = None, mask: Column | None = None) -> Column:

@@ -120,3 +120,59 @@ def judge_score(x: Column) -> Column:
         .when(low.rlike(r"\b(yes|correct|true|pass)\b") & ~low.rlike(r"\b(not|incorrect|wrong)\b"), F.lit(1.0))
         .otherwise(F.lit(0.0))
     )
+
+
+def user_query(x: Column, shapes: tuple[str, ...] = (r"(?s)<\|user\|>\n(.*?)\n<\|assistant\|>", r"(?s)<\|im_start\|>user\n(.*?)<\|im_end\|>")) -> Column:
+    """The last user turn of a rendered conversation in one of the shapes, else the text."""
+    out = x
+    for shape in reversed(shapes):
+        found = F.regexp_extract_all(x, F.lit(shape), F.lit(1))
+        out = F.when(F.size(found) > 0, strip(F.element_at(found, -1))).otherwise(out)
+    return out
+
+
+def json_object(x: Column) -> Column:
+    """The first span from an opening brace to the last closing one that is JSON, also after a byte
+    order mark is removed or doubled braces are made single; null if there is none."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    @pandas_udf("string")
+    def run(texts):
+        import json
+
+        def valid(s):
+            try:
+                json.loads(s)
+                return True
+            except ValueError:
+                return False
+
+        def one(text):
+            last = (text or "").rfind("}")
+            at = text.find("{") if last >= 0 else -1
+            while 0 <= at < last:
+                span = text[at : last + 1]
+                for form in (span, span.replace("\ufeff", ""), span.replace("{{", "{").replace("}}", "}")):
+                    if valid(form):
+                        return form
+                at = text.find("{", at + 1)
+            return None
+
+        return texts.map(one)
+
+    return run(x)
+
+
+def pack_bits(values: Column, width: int) -> Column:
+    """Numbers below 2^width as bytes, ``width`` bits each, most significant first; the last byte is filled with 0."""
+    bits = F.array_join(F.transform(values, lambda v: F.lpad(F.bin(v.cast("bigint")), width, "0")), "")
+    n = F.ceil(F.length(bits) / 8).cast("int")
+    full = F.rpad(bits, 8 * n, "0")
+    return F.when(n > 0, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.conv(F.substr(full, 8 * i + 1, F.lit(8)), 2, 16), 2, "0")), ""))).otherwise(F.lit(b""))
+
+
+def unpack_bits(data: Column, width: int, n: Column) -> Column:
+    """The first n numbers of ``pack_bits``."""
+    hexes = F.hex(data)
+    bits = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(hexes) / 2).cast("int") - 1)), lambda i: F.lpad(F.conv(F.substr(hexes, 2 * i + 1, F.lit(2)), 16, 2), 8, "0")), "")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(bits, width * i + 1, F.lit(width)), 2, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))

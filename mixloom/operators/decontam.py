@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixloom.functions.text import ngrams
 
 
-#: Query vectors that are broadcast together.
-AT_ONCE = 50_000
+#: Bytes of query vectors that are broadcast together.
+AT_ONCE = 128 << 20
 
 
 def analyze(x: Column) -> Column:
@@ -31,18 +33,25 @@ def new_documents(index: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def exact_matches(docs: DataFrame, doc_key: str, doc_text: str, queries: DataFrame, query_key: str, query_text: str, width: int = 4) -> DataFrame:
     """(doc, query) where all analysed tokens of the query occur as one phrase in the document.
 
-    Candidates share the query's first n-gram, an equi-join; the phrase is then looked up among
-    the candidates only. Queries with fewer tokens than ``width`` join on their whole phrase's
-    first token. Null and empty queries match nothing.
+    Candidates share one n-gram of the query, an equi-join: the one that most tells it from the
+    other queries, so that openings many queries have in common aren't joined. The phrase is then
+    looked up among the candidates only. Queries with fewer tokens than ``width`` join on their
+    whole phrase. Null and empty queries match nothing.
     """
     q = queries.select(F.col(query_key).alias("_q"), analyze(F.col(query_text)).alias("_qt")).where(F.size("_qt") > 0)
-    q = q.withColumn("_w", F.least(F.size("_qt"), F.lit(width))).withColumn("_g", F.array_join(F.slice("_qt", F.lit(1), F.col("_w")), " ")).withColumn("_p", F.array_join("_qt", " "))
+    q = q.withColumn("_w", F.least(F.size("_qt"), F.lit(width))).withColumn("_p", F.array_join("_qt", " "))
+    grams = lambda k: ngrams(F.col("_qt"), k)
+    some = F.when(F.col("_w") == width, grams(width))
+    for k in range(1, width):
+        some = some.when(F.col("_w") == k, grams(k))
+    each = q.select("_q", "_w", F.explode(F.array_distinct(some)).alias("_g"))
+    shared = each.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = each.join(shared, "_g").groupBy("_q", "_w").agg(F.min(F.struct("_n", "_g")).alias("m")).select("_q", "_w", F.col("m._g").alias("_g"))
     d = docs.select(F.col(doc_key).alias("_d"), analyze(F.col(doc_text)).alias("_dt"))
-    wide = d.select("_d", F.explode(F.array_distinct(ngrams(F.col("_dt"), width))).alias("_g"))
-    short = [d.select("_d", F.explode(F.array_distinct(ngrams(F.col("_dt"), k))).alias("_g")) for k in range(1, width)]
-    pairs = wide.join(q.where(F.col("_w") == width).select("_q", "_g"), "_g").select("_d", "_q")
-    for k, s in enumerate(short, 1):
-        pairs = pairs.unionByName(s.join(q.where(F.col("_w") == k).select("_q", "_g"), "_g").select("_d", "_q"))
+    # Documents give n-grams of the widths that occur among the queries only.
+    widths = sorted(r[0] for r in q.select("_w").distinct().collect())
+    found = d.select("_d", F.explode(F.array_distinct(F.flatten(F.array(*[ngrams(F.col("_dt"), k) for k in widths] or [F.array().cast("array<string>")])))).alias("_g"))
+    pairs = found.join(chosen, "_g").select("_d", "_q")
     full = pairs.distinct().join(q.select("_q", "_p"), "_q").join(d.select("_d", F.concat(F.lit(" "), F.array_join("_dt", " "), F.lit(" ")).alias("_t")), "_d")
     return full.where(F.col("_t").contains(F.concat(F.lit(" "), F.col("_p"), F.lit(" ")))).select(F.col("_d").alias(doc_key), F.col("_q").alias(query_key)).distinct()
 
@@ -68,23 +77,21 @@ def nearest(docs: DataFrame, doc_key: str, doc_vector: str, queries: DataFrame,
     Queries are put together in blocks that meet the documents as matrices, and each task keeps k
     candidates a query, so only those are shuffled. ``score`` maps the cosine to (1 + cos) / 2.
     """
+    rows = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull())
+    n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(query_vector)), F.lit(1))).first()
+    # Too many bytes for one broadcast: the queries go in parts, each against all documents.
+    parts = -(-n * width * 8 // AT_ONCE) or 1
+    found = [_nearest_part(docs, doc_key, doc_vector, rows if parts == 1 else rows.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == i), query_key, query_vector, k, block) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_part(docs: DataFrame, doc_key: str, doc_vector: str, rows: DataFrame, query_key: str, query_vector: str, k: int, block: int) -> DataFrame:
     import numpy as np
 
-    kinds = dict(docs.dtypes), dict(queries.dtypes)
-    rows = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull())
-    n = rows.count()
-    if n > AT_ONCE:
-        # Too many for one broadcast: the queries go in parts, each against all documents.
-        parts = -(-n // AT_ONCE)
-        out = None
-        for i in range(parts):
-            part = queries.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == i)
-            found = nearest(docs, doc_key, doc_vector, part, query_key, query_vector, k, block)
-            out = found if out is None else out.unionByName(found)
-        return out
+    kinds = dict(docs.dtypes), dict(rows.dtypes)
     local = rows.toPandas()
     keys = list(local[query_key])
-    q = np.stack([np.asarray(v, np.float64) for v in local[query_vector]]) if n else np.zeros((0, 1))
+    q = np.stack([np.asarray(v, np.float64) for v in local[query_vector]]) if keys else np.zeros((0, 1))
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
     shared = docs.sparkSession.sparkContext.broadcast((keys, q))
 

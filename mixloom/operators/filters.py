@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.functions.text import strip
@@ -123,8 +123,8 @@ def within_band(df: DataFrame, by: str, score: str, low: float, high: float) ->
 
 def drop_flat_groups(df: DataFrame, by: str, reward: str) -> DataFrame:
     """Rows of groups whose rewards differ; max and min are exact where a deviation isn't."""
-    w = Window.partitionBy(by)
-    return df.withColumn("_d", F.max(reward).over(w) - F.min(reward).over(w)).where("_d > 0").drop("_d")
+    mixed = df.groupBy(F.col(by).alias("_by")).agg(F.min(reward).alias("_lo"), F.max(reward).alias("_hi")).where("_hi > _lo").select("_by")
+    return df.join(mixed, F.col(by).eqNullSafe(F.col("_by")), "left_semi")
 
 
 def exclude_solved(df: DataFrame, by: str, reward: str, full: float, rate: float) -> DataFrame:

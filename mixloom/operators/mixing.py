@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from mixloom.session import cut
 
+#: Parts a hot group is dealt out to before its rows meet.
+SALTS = 64
+
 
 def seeded(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(str(seed))))
@@ -55,14 +58,16 @@ def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None, name
 def dense_index(df: DataFrame, order: list[Column], name: str = "index", first: int = 0) -> DataFrame:
     """Dense numbers over a total order without one task seeing all rows: rows are sorted into
     range partitions, and each partition starts after the counts of those before it."""
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    # Written once: range bounds are sampled, so a second run could cut the partitions elsewhere.
-    parts = cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Written once, sorted: range bounds are sampled, so a second run could cut the partitions elsewhere.
+    # Each task writes one file after the other, so a row's partition and place in it are its number.
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    parts = cut(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_off", F.lit(0)).alias("_off"))
-    inner = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     # One row a partition.
-    return inner.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_off") + F.col("_k") - 1 + first).drop("_p", "_k", "_off")
+    return parts.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_off") + F.col("_k") + first).drop("_p", "_k", "_off")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -135,8 +140,9 @@ def stratified(df: DataFrame, by: str, portions: dict[str, float], total: int, k
     """int(portion * total) rows of each stratum, by hash order."""
     if not math.isclose(sum(portions.values()), 1.0, abs_tol=1e-9):
         raise ValueError("portions must add up to 1")
-    quota = F.create_map(*[F.lit(x) for k, p in portions.items() for x in (k, int(p * total))])
-    return ranked(df.where(F.col(by).isin(*portions)), [seeded(F.col(key), seed), F.col(key)], [by]).where(F.col("rn") <= quota[F.col(by)]).drop("rn")
+    # A top-n for each stratum: every task keeps n rows, so a hot stratum isn't sorted in one task.
+    parts = [df.where(F.col(by) == k).orderBy(seeded(F.col(key), seed), F.col(key)).limit(int(p * total)) for k, p in portions.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def offset_slice(df: DataFrame, key: str, offset: int, size: int, seed: int = 42) -> DataFrame:
@@ -159,8 +165,11 @@ def split_by(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
 
 def n_per_id(df: DataFrame, by: str, n: int, key: str, seed: int = 42) -> DataFrame:
     """Ids with at least n rows give exactly n of them, by hash order."""
+    # Salted first: a hot id's rows are cut to n in each salt before they meet.
+    order = [seeded(F.col(key), seed), F.col(key)]
+    some = ranked(df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS))), order, [by, "_salt"], "_r").where(F.col("_r") <= n)
     w = Window.partitionBy(by)
-    return df.withColumn("_c", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(seeded(F.col(key), seed), F.col(key)))).where((F.col("_c") >= n) & (F.col("_r") <= n)).drop("_c", "_r")
+    return some.withColumn("_c", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(*order))).where((F.col("_c") >= n) & (F.col("_r") <= n)).drop("_c", "_r", "_salt")
 
 
 def common_keys(frames: list[DataFrame], key: str) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixloom.session import cut
+
 
 def pack_greedy(df: DataFrame, shard: str, order: str, length: str, capacity: int, min_batches: int = 1) -> DataFrame:
     """(shard, order, pack_id, place): rows in order fill packs of at most min(total // min_batches,
@@ -63,13 +65,29 @@ def strided_ranks(df: DataFrame, index: str, world: int, total: int, drop_last:
 
 def within_budget(df: DataFrame, by: str, order: str, length: str, budget: int) -> DataFrame:
     """How many rows of each group, in order, fit the token budget."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_s", F.sum(length).over(w)).groupBy(by).agg(F.count_if(F.col("_s") <= budget).alias("fitting"))
+    return running_total(df, by, order, length, "_s").groupBy(by).agg(F.count_if(F.col("_s") <= budget).alias("fitting"))
+
+
+def running_total(df: DataFrame, by: str, order: str, length: str, name: str) -> DataFrame:
+    """Sum of a group's lengths up to and with each row, in order.
+
+    A hot group is cut into ranges of the order key: sums run within a range, and each range starts
+    at the total of those before it, so no task sees a whole group.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Written once: range bounds are sampled, so a second run could cut the ranges elsewhere.
+    parts = cut(df.repartitionByRange(n, by, order).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(by, "_p").agg(F.sum(length).alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(w), F.lit(0))).select(F.col(by).alias("_by"), F.col("_p").alias("_q"), "_before")
+    inside = parts.withColumn("_in", F.sum(length).over(Window.partitionBy(by, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_q"))).withColumn(name, F.col("_before") + F.col("_in")).drop("_by", "_q", "_before", "_in", "_p")
 
 
 def boundaries(lengths: Column) -> Column:
     """Cumulative lengths from 0."""
-    return F.transform(F.sequence(F.lit(0), F.size(lengths)), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, n: a + n))
+    start = F.array(F.lit(0).cast("bigint"))
+    return F.aggregate(lengths, start, lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
 
 
 def position_ids(lengths: Column) -> Column:
@@ -118,5 +136,4 @@ def worker_blocks(df: DataFrame, index: str, total: int, workers: int) -> DataFr
 
 def token_offsets(df: DataFrame, shard: str, order: str, length: str) -> DataFrame:
     """Start and end of each row's tokens within its shard's file."""
-    w = Window.partitionBy(shard).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("end", F.sum(length).over(w)).withColumn("start", F.col("end") - F.col(length))
+    return running_total(df, shard, order, length, "end").withColumn("start", F.col("end") - F.col(length))

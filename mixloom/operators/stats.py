@@ -11,8 +11,11 @@ THRESHOLDS = (512, 768, 1024, 1536, 2048, 4096)
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max of each column, one row each."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select("m.*")
-    q = [F.percentile("v", F.lit(p)).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    return long.groupBy("measure").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("least"), *q, F.max("v").alias("most"))
+    # Exact quartiles from the counts of each value, which the tasks add up before they meet.
+    counts = long.groupBy("measure", "v").agg(F.count("v").alias("_n")).where("v is not null")
+    quartiles = counts.groupBy("measure").agg(*[F.percentile("v", F.lit(p), F.col("_n")).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    totals = long.groupBy("measure").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return totals.join(quartiles, "measure", "left").select("measure", "n", "mean", "std", "least", "p25", "p50", "p75", "most")
 
 
 def over_thresholds(df: DataFrame, column: str, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
@@ -157,3 +160,53 @@ def eval_summary(df: DataFrame, model: str, task: str, value: str, tasks: list[s
 def eval_means(df: DataFrame, model: str, task: str, value: str) -> DataFrame:
     """As eval_summary, in long form: one row for each model and task that is found."""
     return df.groupBy(model, task).agg(F.bround(F.avg(value), 4).alias("mean"))
+
+
+def summary(df: DataFrame, columns: list[str], thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+    """A row for each column: mean, maximum and the percentage over each threshold."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select("m.*")
+    return long.groupBy("measure").agg(F.avg("v").alias("mean"), F.max("v").alias("most"), *[(100 * F.avg((F.col("v") > t).cast("double"))).alias(f"over_{t}_pct") for t in thresholds])
+
+
+def benchmark_totals(df: DataFrame, tokens: str, seconds: str, measures: list[str]) -> DataFrame:
+    """One row: batches, tokens, seconds, tokens a second and the means of the measures."""
+    return df.agg(F.count(F.lit(1)).alias("batches"), F.sum(tokens).alias("tokens"), F.sum(seconds).alias("seconds"), (F.sum(tokens) / F.nullif(F.sum(seconds), F.lit(0))).alias("tokens_per_second"), *[F.avg(m).alias(f"mean_{m}") for m in measures])
+
+
+def counts_by(df: DataFrame, by: str, hit: Column) -> DataFrame:
+    """By source: rows, and those that were hit (contaminated, filtered, decided)."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
+
+
+def top_by_spread(df: DataFrame, group: str, kind: str, value: str, k: int) -> DataFrame:
+    """The k kinds of largest population deviation in each group; equal ones by name."""
+    by = df.groupBy(group, kind).agg(F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+    w = Window.partitionBy(group).orderBy(F.desc_nulls_last("std"), kind)
+    return by.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def sorted_by_score(df: DataFrame, by: str, item: str, score: str) -> DataFrame:
+    """Each group's items as a list, best score first, equal ones by item."""
+    return df.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i")))), lambda x: x["i"]).alias("items"))
+
+
+#: Fields and sizes of evaluation sets, as (name, split, fields, limit).
+BENCHMARK_FIELDS = ("name", "split", "fields", "row_limit")
+
+
+def benchmark_items(sources: dict[str, DataFrame], suite: list[tuple[str, str, list[str], int | None]]) -> DataFrame:
+    """(eval_set, text) of the named fields of each set of the suite, at most its limit of rows by hash."""
+    out = None
+    for name, split, fields, limit in suite:
+        d = sources[name]
+        d = d.where(F.col("split") == split) if "split" in d.columns and split else d
+        if limit is not None:
+            d = d.orderBy(F.xxhash64(*d.columns)).limit(limit)
+        part = d.select(F.lit(name).alias("eval_set"), F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("text")).where("text is not null")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def length_histogram(df: DataFrame, by: str, lengths: Column, width: int) -> DataFrame:
+    """Rows by group and bin of token length; a null length counts as 0."""
+    return df.select(by, (F.floor(F.coalesce(lengths, F.lit(0)) / width) * width).alias("from")).groupBy(by, "from").agg(F.count(F.lit(1)).alias("n"))

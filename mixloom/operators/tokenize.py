@@ -1,17 +1,23 @@
 """Chat templates, tokenisation and label masking.
 
-Templates are column expressions over ``messages``. The default tokenizer splits words and marks
-and hashes them, so it needs no files and is prefix-stable at message borders; any function from
-a text column to an array of ids can take its place.
+Templates are column expressions over ``messages``. ``chat_tokens`` encodes a conversation once under
+a public byte-level vocabulary and masks labels by where each token begins. The column functions take
+any function from a text column to an array of ids; their default splits words and marks and hashes
+them, so it needs no files and is prefix-stable at message borders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixloom.functions.bpe import encoder, vocabulary_path
+
 IGNORE = -100
 #: Fixed value: opening of the reasoning templates.
 R1 = (
@@ -27,15 +33,22 @@ def _capital(x: Column) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))
 
 
-def _join(messages: Column, part: Callable, eos: str, generation: str | None, head: str = "", last_eos: bool = False) -> Column:
+def _join(messages: Column, part: Callable, eos: str, generation: str | None, head: str = "", last_eos: bool = False, pieces: bool = False) -> Column:
     n = F.size(messages)
-    body = F.array_join(F.transform(messages, lambda m, i: part(m["role"], F.coalesce(m["content"], F.lit("")), i == 0, i == n - 1)), "")
+    parts = F.transform(messages, lambda m, i: part(m["role"], F.coalesce(m["content"], F.lit("")), i == 0, i == n - 1))
+    if pieces:
+        return F.concat(F.array(F.lit(head)), parts, F.array(F.lit(generation if generation is not None else eos if last_eos else "")))
+    body = F.array_join(parts, "")
     tail = F.lit(generation) if generation is not None else F.lit(eos if last_eos else "")
     return F.concat(F.lit(head), body, F.when(n > 0, tail).otherwise(""))
 
 
-def template(name: str, messages: Column, eos: str = "</s>", generation: bool = False, system: str = "") -> Column:
-    """The messages as one text; ``generation`` opens an assistant's turn. Unknown names raise."""
+def template(name: str, messages: Column, eos: str = "</s>", generation: bool = False, system: str = "", pieces: bool = False) -> Column:
+    """The messages as one text; ``generation`` opens an assistant's turn. Unknown names raise.
+
+    With ``pieces`` the parts of the text instead: what comes before, one for each message, what comes after.
+    """
+    join = partial(_join, pieces=pieces)
     gap = lambda first, sep: F.when(first, "").otherwise(sep)
     on = lambda x: x if generation else None
     tagged = {"system": "<|system|>\n", "user": "<|user|>\n", "assistant": "<|assistant|>\n"}
@@ -54,20 +67,20 @@ def template(name: str, messages: Column, eos: str = "</s>", generation: bool =
     after = lambda c: F.element_at(F.split(c, "</think>"), -1)
     if name in ("concat_space", "concat_line"):
         sep = " " if name == "concat_space" else "\n"
-        return _join(messages, lambda r, c, first, last: F.concat(gap(first, sep), c), eos, on(""), last_eos=True)
+        return join(messages, lambda r, c, first, last: F.concat(gap(first, sep), c), eos, on(""), last_eos=True)
     if name == "simple_chat":
-        return _join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), _capital(r), F.lit(": "), c), eos, on(""), last_eos=True)
+        return join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), _capital(r), F.lit(": "), c), eos, on(""), last_eos=True)
     if name == "assistant_only":
-        return _join(messages, lambda r, c, first, last: F.when(r == "assistant", c).otherwise(""), eos, on(""))
+        return join(messages, lambda r, c, first, last: F.when(r == "assistant", c).otherwise(""), eos, on(""))
     if name == "tagged_eos":
         each = {r: (lambda t: lambda c, last: F.concat(F.lit(t), c, F.lit(eos + "\n")))(t) for r, t in tagged.items()}
-        return _join(messages, roles(each), eos, on(tagged["assistant"]))
+        return join(messages, roles(each), eos, on(tagged["assistant"]))
     if name == "tagged":
-        return _join(messages, roles(plain | {"assistant": closed}), eos, on(tagged["assistant"]))
+        return join(messages, roles(plain | {"assistant": closed}), eos, on(tagged["assistant"]))
     if name == "tagged_thinker":
-        return _join(messages, roles(plain | {"assistant": closed}), eos, on(tagged["assistant"] + "<think>"))
+        return join(messages, roles(plain | {"assistant": closed}), eos, on(tagged["assistant"] + "<think>"))
     if name == "tagged_thinker_r1":
-        return _join(messages, roles(plain | {"assistant": lambda c, last: closed(after(c), last)}), eos, on(tagged["assistant"] + "<think>"), R1)
+        return join(messages, roles(plain | {"assistant": lambda c, last: closed(after(c), last)}), eos, on(tagged["assistant"] + "<think>"), R1)
     if name in ("im", "im_thinker", "im_no_think", "im_last_thinking"):
         im = lambda r, c: F.concat(F.lit(f"<|im_start|>{r}\n"), c, F.lit("<|im_end|>\n"))
 
@@ -75,22 +88,23 @@ def template(name: str, messages: Column, eos: str = "</s>", generation: bool =
             c = F.when(last, c).otherwise(after(c)) if name == "im_last_thinking" else c
             return F.concat(F.lit("<|im_start|>assistant\n"), c, F.when(last, eos).otherwise("<|im_end|>\n"))
 
-        body = _join(messages, roles({"system": lambda c, last: im("system", c), "user": lambda c, last: im("user", c), "environment": lambda c, last: im("environment", c), "assistant": answer}), eos, on("<|im_start|>assistant\n" + ("<think>" if name in ("im_thinker", "im_last_thinking") else "")))
+        body = join(messages, roles({"system": lambda c, last: im("system", c), "user": lambda c, last: im("user", c), "environment": lambda c, last: im("environment", c), "assistant": answer}), eos, on("<|im_start|>assistant\n" + ("<think>" if name in ("im_thinker", "im_last_thinking") else "")))
         if not system:
             return body
         has = F.exists(messages, lambda m: m["role"] == "system")
-        return F.concat(F.when(has, "").otherwise(f"<|im_start|>system\n{system}<|im_end|>\n"), body)
+        opening = F.when(has, "").otherwise(f"<|im_start|>system\n{system}<|im_end|>\n")
+        return F.concat(F.array(opening), body) if pieces else F.concat(opening, body)
     if name == "steps":
-        return _join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), c, F.lit("\n")), eos, on('\nRemember to put your answer on its own line after "Answer:"'), STEPS)
+        return join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), c, F.lit("\n")), eos, on('\nRemember to put your answer on its own line after "Answer:"'), STEPS)
     if name == "code_steps":
-        return _join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), c, F.lit("\n")), eos, on("\nRemember to put your solution inside the ```\npython\nCODE\n``` tags"), CODE_STEPS)
+        return join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), c, F.lit("\n")), eos, on("\nRemember to put your solution inside the ```\npython\nCODE\n``` tags"), CODE_STEPS)
     if name in ("r1_chat", "r1_think"):
-        return _join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), _capital(r), F.lit(": "), c, F.lit("\n")), eos, on("Assistant:" + (" <think>" if name == "r1_think" else "")), R1)
+        return join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), _capital(r), F.lit(": "), c, F.lit("\n")), eos, on("Assistant:" + (" <think>" if name == "r1_think" else "")), R1)
     if name == "r1_boxed":
-        return _join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), _capital(r), F.lit(ANSWER_TAGS), c, F.lit("\n")), eos, on("Assistant: <think>"), R1)
+        return join(messages, lambda r, c, first, last: F.concat(gap(first, "\n\n"), _capital(r), F.lit(ANSWER_TAGS), c, F.lit("\n")), eos, on("Assistant: <think>"), R1)
     if name == "boxed_math":
         ask = "\n\nPlease reason step by step, and put your final answer within \\boxed{}<|im_end|>\n"
-        return _join(messages, roles({"user": lambda c, last: F.concat(F.lit("<|im_start|>user\n"), c, F.lit(ask)), "assistant": lambda c, last: F.concat(F.lit("<|im_start|>assistant\n"), c, F.lit("<|im_end|>\n"))}), eos, on("<|im_start|>assistant\n"))
+        return join(messages, roles({"user": lambda c, last: F.concat(F.lit("<|im_start|>user\n"), c, F.lit(ask)), "assistant": lambda c, last: F.concat(F.lit("<|im_start|>assistant\n"), c, F.lit("<|im_end|>\n"))}), eos, on("<|im_start|>assistant\n"))
     raise ValueError(f"unknown template {name!r}")
 
 
@@ -106,6 +120,104 @@ def hashed_tokens(x: Column, size: int = 32_000) -> Column:
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"hashed": hashed_tokens}
 
 
+def _learned(sizes: list[int], roles: list, header: int, starts: list[bool], mode: str) -> list[tuple[int, int]]:
+    """Byte ranges of a text whose tokens are learned, from the sizes of its pieces."""
+    n = len(roles)
+    ends = np.cumsum(sizes).tolist()
+    first = len(sizes) - n - 1  # pieces before the first message
+    at = lambda i: ends[first + i - 1] if first + i else 0
+    body = lambda i: at(i) + (header if i and starts[i] else 0)
+    if mode == "all" or not n:
+        return [(0, ends[-1])]
+    if mode == "prompt":
+        # The prompt is all but the last message (or the only one) and the header of the answer.
+        return [] if n == 1 else [(at(n - 1) + (header if starts[n - 1] else 0), ends[-1])]
+    if mode == "last":
+        return [(body(n - 1), ends[-1])]
+    spans = [(body(i), at(i + 1)) for i in range(n) if roles[i] == "assistant"]
+    return spans[:-1] + [(spans[-1][0], ends[-1])] if spans and roles[-1] == "assistant" else spans
+
+
+def chat_tokens(df: DataFrame, messages: str = "messages", name: str = "tagged", mask: str = "assistant", limit: int | None = None, vocabulary: str | None = None, out: tuple[str, str] = ("input_ids", "labels"), system: str = "") -> DataFrame:
+    """The frame with ``input_ids``, ``attention_mask`` and ``labels`` of its conversations, exactly encoded.
+
+    ``mask``: ``all`` learns every token, ``prompt`` those behind the prompt, ``assistant`` those of
+    assistants' messages, ``last`` those of the last message; others are IGNORE. A token belongs to
+    the message in which it begins, and the header of an answer is never learned. One linear pass:
+    each text is encoded once, however many messages it has. Null and empty lists give empty arrays.
+    """
+    path = vocabulary or vocabulary_path()
+    if mask not in ("all", "prompt", "assistant", "last"):
+        raise ValueError(f"unknown mask {mask!r}")
+    source = df.withColumn("_pieces", template(name, F.col(messages), system=system, pieces=True)).withColumn("_roles", F.transform(messages, lambda m: m["role"]))
+    # What a template opens an answer with is the last piece of an empty conversation.
+    opened = template(name, F.array().cast("array<struct<role:string,content:string>>"), generation=True, system=system, pieces=True)
+    source = source.withColumn("_header", F.element_at(opened, -1))
+    new = (out[0], "attention_mask" if out == ("input_ids", "labels") else f"{out[0]}_mask", out[1])
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + "".join(f", `{c}` array<int>" for c in new)
+
+    def run(batches):
+        coder = encoder(path)
+        lengths = np.zeros(max(coder.length_of) + 1, np.int64)
+        lengths[list(coder.length_of)] = list(coder.length_of.values())
+        for batch in batches:
+            columns: tuple[list, list] = ([], [])
+            for pieces, roles, header in zip(*(batch.column(c).to_pylist() for c in ("_pieces", "_roles", "_header"))):
+                if not roles:
+                    columns[0].append([])
+                    columns[1].append([])
+                    continue
+                ids = np.array(coder.encode("".join(pieces)), np.int32)
+                starts = np.cumsum(lengths[ids]) - lengths[ids] if len(ids) else np.empty(0, np.int64)
+                sizes = [len(p.encode("utf-8", "surrogatepass")) for p in pieces]
+                labels = np.full(len(ids), IGNORE, np.int32)
+                opens = [p.startswith(header) if header else False for p in pieces[len(pieces) - len(roles) - 1 : -1]]
+                for a, b in _learned(sizes, roles, len(header.encode()), opens, mask):
+                    span = slice(*np.searchsorted(starts, (a, b)))
+                    labels[span] = ids[span]
+                columns[0].append(ids[:limit])
+                columns[1].append(labels[:limit])
+            ids, labels = (pa.array(c, pa.list_(pa.int32())) for c in columns)
+            ones = pa.ListArray.from_arrays(ids.offsets, pa.array(np.ones(len(ids.values), np.int32)))
+            kept = [n for n in batch.schema.names if n not in ("_pieces", "_roles", "_header")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), ids, ones, labels], names=[*kept, *new])
+
+    return source.mapInArrow(run, schema)
+
+
+def text_lengths(df: DataFrame, text: str, name: str = "n_tokens", vocabulary: str | None = None) -> DataFrame:
+    """The frame with the number of tokens of a text column; a null text has 0."""
+    path = vocabulary or vocabulary_path()
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{name}` bigint"
+
+    def run(batches):
+        count = encoder(path).count
+        for batch in batches:
+            yield batch.append_column(name, pa.array([count(x) for x in batch.column(text).to_pylist()], pa.int64()))
+
+    return df.mapInArrow(run, schema)
+
+
+def encoded(df: DataFrame, text: str, name: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """The frame with the ids of a text column; a null text has none."""
+    path = vocabulary or vocabulary_path()
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{name}` array<int>"
+
+    def run(batches):
+        encode = encoder(path).encode
+        for batch in batches:
+            yield batch.append_column(name, pa.array([encode(x) for x in batch.column(text).to_pylist()], pa.list_(pa.int32())))
+
+    return df.mapInArrow(run, schema)
+
+
+def preference_tokens(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected", name: str = "tagged", limit: int | None = 4096, mask: str = "last", vocabulary: str | None = None) -> DataFrame:
+    """chosen_ and rejected_ input_ids, attention_mask and labels of pairs of conversations."""
+    for side, column in (("chosen", chosen), ("rejected", rejected)):
+        df = chat_tokens(df, column, name, mask, limit, vocabulary, (f"{side}_input_ids", f"{side}_labels")).withColumnRenamed(f"{side}_input_ids_mask", f"{side}_attention_mask")
+    return df
+
+
 def all_but_last(messages: Column) -> Column:
     return F.when(F.size(messages) > 1, F.slice(messages, 1, F.size(messages) - 1)).otherwise(messages)
 

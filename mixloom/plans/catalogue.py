@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mixloom.plans import queries_data, queries_text
+from mixloom.plans import queries_data, queries_more, queries_text
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -12,8 +12,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return queries_text.QUERIES | queries_data.QUERIES
+    return queries_text.QUERIES | queries_data.QUERIES | queries_more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_text.SQL | queries_data.SQL
+    return queries_text.SQL | queries_data.SQL | queries_more.SQL

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mixloom.functions import rl
 from mixloom.functions.text import split_words
 from mixloom.operators import filters, joins, mixing, packing, preference, stats
 from mixloom.plans import registry
-from mixloom.plans.queries_text import read, words_sql
+from mixloom.plans.queries_text import _DOCS, _QS, _SCORES, read, words_sql
 from mixloom.streaming import rollouts
 
 QUERIES: dict = {}
@@ -117,15 +116,8 @@ def repeated_rows(spark, sf):
 # -- joins --------------------------------------------------------------------------------------
 
 
-@q("select t.row_id, c.gen_id, count(*) over (partition by t.row_id, c.prompt_id) as num_outputs from (select distinct row_id, prompt_id from train_rows) t join (select distinct gen_id, prompt_id from completions where prompt_id <> 'pr-seed-0') c using (prompt_id)")
-def outputs_per_prompt(spark, sf):
-    t = read(spark, sf, "train_rows").select("row_id", "prompt_id").distinct()
-    c = read(spark, sf, "completions").where("prompt_id <> 'pr-seed-0'").select("gen_id", "prompt_id").distinct()
-    return joins.with_group_size(t, c, "prompt_id").select("row_id", "gen_id", "num_outputs")
-
-
-# outputs_per_prompt leaves out the hot prompt, as its SQL does. These two hold every prompt's rows and
-# outputs; joined by prompt_id they are the pairs.
+# Pairs of a row and an output of its prompt would grow by the square of a hot prompt, so there is one
+# row a train row with its number of outputs, and the outputs of each prompt.
 @q("select t.row_id, t.prompt_id, c.num_outputs from (select distinct row_id, prompt_id from train_rows) t join (select prompt_id, count(distinct gen_id) + max((gen_id is null)::int) as num_outputs from completions group by 1) c using (prompt_id)")
 def outputs_per_row(spark, sf):
     t = read(spark, sf, "train_rows").select("row_id", "prompt_id").distinct()
@@ -287,15 +279,7 @@ def masked_mean(spark, sf):
     return a.select("l_orderkey", F.round(rl.masked_mean(F.transform("s", lambda x: x["l_quantity"]), F.transform("s", lambda x: x["l_linenumber"])), 6).alias("mean"))
 
 
-@q("select e.event_id, round((value - m) / (d + 1e-8), 6) as advantage from (select *, avg(value) over (partition by user_id) as m, stddev_pop(value) over (partition by user_id) as d, max(value) over (partition by user_id) - min(value) over (partition by user_id) as w from (select * from events where (select max(event_id) from events) - event_id <= 5000)) e where w > 0")
-def rollout_batch(spark, sf):
-    e = events(spark, sf)
-    step = e.agg(F.max("event_id")).first()[0]
-    return registry.rollout_batch(e, "user_id", "value", "event_id", step, 5000).select("event_id", F.round("advantage", 6).alias("advantage"))
-
-
-# rollout_batch takes the newest 5,001 ids, as its SQL does; here the step is the day, so the share of the
-# table that is fresh doesn't shrink with its size.
+# The step is the day, so the share of the table that is fresh doesn't shrink with its size.
 @q("select e.event_id, round((value - m) / (d + 1e-8), 6) as advantage from (select *, avg(value) over (partition by user_id) as m, stddev_pop(value) over (partition by user_id) as d, max(value) over (partition by user_id) - min(value) over (partition by user_id) as w from (select * from events where (select max(ts)::date from events) - ts::date <= 14)) e where w > 0")
 def rollout_batch_days(spark, sf):
     e = events(spark, sf).withColumn("day", F.unix_date(F.to_date("ts")))
@@ -320,13 +304,21 @@ def token_offsets(spark, sf):
     return packing.token_offsets(d, "source", "doc_id", "n").select("source", "doc_id", "start", "end")
 
 
-@q()
+@q(
+    f"""with recursive d as (select source, doc_id, len({words_sql('text')})::bigint as n, row_number() over (partition by source order by doc_id) as i, least(sum(len({words_sql('text')})) over (partition by source), 1024) as cap from documents where text is not null),
+f(source, i, pack, used, place) as (select source, i, 0::bigint, n, 0::bigint from d where i = 1 union all select d.source, d.i, case when f.used + d.n > greatest(d.cap, 1) then f.pack + 1 else f.pack end, case when f.used + d.n > greatest(d.cap, 1) then d.n else f.used + d.n end, case when f.used + d.n > greatest(d.cap, 1) then 0 else f.place + 1 end from f join d on d.source is not distinct from f.source and d.i = f.i + 1)
+select d.source, d.doc_id, d.n, f.pack as pack_id, f.place from d join f on d.source is not distinct from f.source and d.i = f.i"""
+)
 def pack_greedy(spark, sf):
     d = docs(spark, sf).where("text is not null").withColumn("n", F.size(split_words(F.col("text"))))
     return packing.pack_greedy(d, "source", "doc_id", "n", 1024)
 
 
-@q()
+@q(
+    f"""with recursive d as (select source, doc_id, len({words_sql('text')})::bigint as a, length(text)::bigint as b, row_number() over (partition by source order by doc_id) as i from documents where text is not null),
+f(source, i, pack, a, b, n) as (select source, i, 0::bigint, a, b, 1 from d where i = 1 union all select d.source, d.i, case when f.a + d.a > 4096 or f.b + d.b > 4096 or f.n >= 16 then f.pack + 1 else f.pack end, case when f.a + d.a > 4096 or f.b + d.b > 4096 or f.n >= 16 then d.a else f.a + d.a end, case when f.a + d.a > 4096 or f.b + d.b > 4096 or f.n >= 16 then d.b else f.b + d.b end, case when f.a + d.a > 4096 or f.b + d.b > 4096 or f.n >= 16 then 1 else f.n + 1 end from f join d on d.source is not distinct from f.source and d.i = f.i + 1)
+select d.source, d.doc_id, f.pack as pack_id, f.pack % 4 as rank from d join f on d.source is not distinct from f.source and d.i = f.i"""
+)
 def pack_two_stream(spark, sf):
     d = docs(spark, sf).where("text is not null").select("source", "doc_id", F.size(split_words(F.col("text"))).alias("a"), F.length("text").alias("b"))
     return packing.pack_two(d, "source", "doc_id", ("a", "b"), 4096, 16, 4)
@@ -385,13 +377,6 @@ def model_acceptance(spark, sf):
     return stats.acceptance(read(spark, sf, "human_evals")).withColumn("accepted", F.round("accepted", 6))
 
 
-@q("select model_a, round_even(avg(case when evaluator = 'rater_00' then length(prompt) end), 4) as rater_00, round_even(avg(case when evaluator = 'rater_01' then length(prompt) end), 4) as rater_01 from human_evals group by 1")
-def eval_summary(spark, sf):
-    d = read(spark, sf, "human_evals").withColumn("v", F.length("prompt"))
-    return stats.eval_summary(d, "model_a", "evaluator", "v", ["rater_00", "rater_01"])
-
-
-# eval_summary has two evaluators, as its SQL does; this has all that are found.
 @q("select model_a, evaluator, round_even(avg(length(prompt)), 4) as mean from human_evals group by 1, 2")
 def eval_summary_long(spark, sf):
     d = read(spark, sf, "human_evals").withColumn("v", F.length("prompt"))
@@ -415,7 +400,11 @@ def transform_stats(spark, sf):
     return stats.transform_stats(t, t.where("tokens > 1"), "dataset", "tokens", "trainable").select("dataset", "initial", "final", F.col("filtered").cast("bigint").alias("filtered"))
 
 
-@q()
+@q(
+    """with d as (select *, l_orderkey::varchar || '-' || l_linenumber::varchar as k from lineitem), r as (select *, row_number() over (partition by l_orderkey order by l_quantity, k) as r, md5(k || '42') as h from d),
+c as (select *, row_number() over (partition by l_orderkey order by case when r <= 4 then 0 else 1 end, h, k) as c from r), x as (select *, row_number() over (partition by l_orderkey order by case when c = 1 then 1 else 0 end, h desc, k) as x from c)
+select l_orderkey, max(case when c = 1 then l_linenumber end) as chosen, max(case when x = 1 and c <> 1 then l_linenumber end) as rejected from x group by 1 having max(case when c = 1 then l_linenumber end) <> max(case when x = 1 and c <> 1 then l_linenumber end)"""
+)
 def rank_pairs(spark, sf):
     return preference.ranked_pair(read(spark, sf, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")), "l_orderkey", "l_linenumber", "l_quantity", "k").select("l_orderkey", "chosen", "rejected")
 
@@ -427,10 +416,6 @@ def mixture_plan(spark, sf):
     return out.select("index", "row_id", "dataset_source")
 
 
-@q()
+@q(f"with {_DOCS}, {_QS}, {_SCORES} select row_id from train_rows where row_id not in (select original_id from s where score > 0.5)")
 def decontamination_plan(spark, sf):
     return registry.decontamination(read(spark, sf, "train_rows").where("row_id is not null"), "row_id", read(spark, sf, "eval_items"), "item_id", "text").select("row_id")
-
-
-def window(by):
-    return Window.partitionBy(by)

@@ -295,15 +295,16 @@ def template_assistant_only(spark, sf):
 
 @q()
 def sft_tokens(spark, sf):
-    rows = train(spark, sf).where("messages is not null and size(messages) > 0")
+    rows = train(spark, sf).select("row_id", "messages").where("messages is not null and size(messages) > 0")
     out = run_transforms(rows, [("drop_blank", {}), ("sft_tokenize", {"mask_prompt": True}), ("sft_filter", {"max_tokens": 4096})])
     return out.select("row_id", F.size("input_ids").alias("n"), F.size(F.filter("labels", lambda x: x != -100)).alias("trainable"))
 
 
 @q()
 def sft_masked_spans(spark, sf):
-    rows = train(spark, sf).where("messages is not null and size(messages) > 0").where(~filters.has_blank(F.col("messages")))
-    return rows.select("row_id", tokenize.masked_spans(F.col("messages")).alias("t")).select("row_id", F.size("t.input_ids").alias("n"), F.size(F.filter("t.labels", lambda x: x != -100)).alias("trainable"))
+    rows = train(spark, sf).select("row_id", "messages").where("messages is not null and size(messages) > 0").where(~filters.has_blank(F.col("messages")))
+    out = run_transforms(rows, [("sft_tokenize_assistant", {"limit": None})])
+    return out.select("row_id", F.size("input_ids").alias("n"), F.size(F.filter("labels", lambda x: x != -100)).alias("trainable"))
 
 
 @q()
@@ -321,11 +322,6 @@ def norm_sql(x: str) -> str:
     return f"array_to_string({words_sql(f'regexp_replace(regexp_replace(lower({x}), {chr(39)}{_PUNCT}{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)}), {chr(39)}\\b(a|an|the)\\b{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, ' ')"
 
 
-@q(f"select item_id, {norm_sql('text')} as x from eval_items where regexp_matches(text, '^[\\x00-\\x7F]*$')")
-def normalized_answers(spark, sf):
-    return read(spark, sf, "eval_items").where(F.col("text").rlike(r"^[\x00-\x7F]*\z")).select("item_id", T.normalize_answer(F.col("text")).alias("x"))
-
-
 # normalized_answers has plain ASCII texts only, as its SQL does; this has every item. SQL has no equal
 # of Unicode white space and word borders, so none is given.
 @q()
@@ -499,10 +495,12 @@ def decon_antijoin(spark, sf):
     return decontam.decontaminate(train(spark, sf), bad, "row_id").select("row_id")
 
 
-@q(f"with {_DOCS}, {_QS}, {_SCORES}, b as (select e.eval_set, s.item_id, max(s.score) as score from s join eval_items e using (item_id) group by 1, 2) select eval_set, round(avg(score), 4) as mean_score, count(*) as items from b group by 1")
+@q(f"with {_DOCS}, {_QS}, {_SCORES}, b as (select e.eval_set, s.item_id, max(s.score) as score from s join eval_items e using (item_id) group by 1, 2) select eval_set, round(avg(score), 4) as mean_score from b group by 1")
 def decon_matrix(spark, sf):
     best = _ngram_scores(spark, sf).groupBy("item_id").agg(F.max(F.round("score", 6)).alias("score"))
-    return best.join(read(spark, sf, "eval_items").select("item_id", "eval_set"), "item_id").groupBy("eval_set").agg(F.round(F.avg("score"), 4).alias("mean_score"), F.count(F.lit(1)).alias("items"))
+    scored = best.join(read(spark, sf, "eval_items").select("item_id", "eval_set"), "item_id").withColumn("index", F.lit("train_rows"))
+    names = sorted(r[0] for r in read(spark, sf, "eval_items").select("eval_set").distinct().collect() if r[0])
+    return decontam.score_matrix(scored, "index", "eval_set", names).select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`") for n in names]))).alias("eval_set", "mean_score")).where("mean_score is not null")
 
 
 @q(

@@ -26,17 +26,47 @@ def register(name: str, kind: str):
 
 
 @register("sft_tokenize", "map")
-def _sft(df, template="tagged", mask_prompt=False, **_):
-    # Step by step: ids that several columns need are computed once a row.
-    df = df.withColumn("_text", tokenize.template(template, F.col("messages"))).withColumn("_asked", tokenize.template(template, tokenize.all_but_last(F.col("messages")), generation=True))
-    df = df.withColumn("input_ids", tokenize.hashed_tokens(F.col("_text"))).withColumn("prompt_tokens", F.size(tokenize.hashed_tokens(F.col("_asked"))))
-    labels = tokenize.masked_prefix(F.col("input_ids"), F.col("prompt_tokens")) if mask_prompt else F.col("input_ids")
-    return df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))).withColumn("labels", labels).drop("_text", "_asked")
+def _sft(df, template="tagged", mask_prompt=False, vocabulary=None, **_):
+    return tokenize.chat_tokens(df, "messages", template, "prompt" if mask_prompt else "all", vocabulary=vocabulary)
+
+
+@register("sft_tokenize_assistant", "map")
+def _spans(df, template="tagged", limit=4096, vocabulary=None, **_):
+    return tokenize.chat_tokens(df, "messages", template, "assistant", limit, vocabulary)
 
 
 @register("sft_tokenize_last_turn", "map")
-def _last(df, template="tagged", limit=4096, **_):
-    return df.withColumn("_t", tokenize.masked_spans(F.col("messages"), template, limit=limit, last_only=True)).select("*", "_t.input_ids", "_t.labels").drop("_t")
+def _last(df, template="tagged", limit=4096, vocabulary=None, **_):
+    return tokenize.chat_tokens(df, "messages", template, "last", limit, vocabulary)
+
+
+@register("preference_tokenize", "map")
+def _preference(df, template="tagged", limit=4096, mask="last", vocabulary=None, **_):
+    return tokenize.preference_tokens(df, "chosen", "rejected", template, limit, mask, vocabulary)
+
+
+@register("preference_filter", "filter")
+def _pairs(df, max_tokens=None, **_):
+    """Both sides have a label and at most ``max_tokens`` ids."""
+    keep = F.lit(True)
+    for side in ("chosen", "rejected"):
+        keep = keep & filters.length_filter(F.col(f"{side}_input_ids"), F.col(f"{side}_input_ids"), F.col(f"{side}_labels"), None, max_tokens)
+    return df.where(keep)
+
+
+@register("verifiable_tokenize", "map")
+def _verifiable(df, template="tagged", truth="ground_truth", verifier="dataset", system=None, vocabulary=None, **_):
+    """prompt_ids of all but a trailing answer, ground truths and verifiers as lists."""
+    parts = tokenize.verifiable(F.col("messages"), F.col(truth), F.col(verifier), template, lambda x: x, system)
+    df = df.withColumn("_v", parts).withColumn("_prompt", F.col("_v.prompt_ids")).withColumn("prompt", F.col("_v.prompt"))
+    df = df.drop(truth, verifier).withColumn(truth, F.col("_v.ground_truth")).withColumn(verifier, F.col("_v.dataset")).drop("_v", "messages")
+    return tokenize.encoded(df, "_prompt", "prompt_ids", vocabulary).drop("_prompt")
+
+
+@register("verifiable_filter", "filter")
+def _prompts(df, max_prompt=None, **_):
+    """Prompts of at most ``max_prompt`` ids; without a bound all."""
+    return df if max_prompt is None else df.where(F.size("prompt_ids") <= max_prompt)
 
 
 @register("sft_filter", "filter")
@@ -72,6 +102,12 @@ class Source:
     key: str
     amount: float | int = 1.0
     steps: list[tuple[str, dict]] = field(default_factory=list)
+    revision: str | None = None
+
+
+def _state(df: DataFrame) -> list:
+    row = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(F.to_json(F.struct("*")))), F.sum(F.pmod(F.xxhash64(F.to_json(F.struct("*")), F.lit(1)), F.lit(1 << 31)))).first()
+    return [df.schema.simpleString(), *(str(x) for x in row)]
 
 
 def mixture(sources: list[Source], seed: int = 42) -> DataFrame:
@@ -86,7 +122,9 @@ def mixture(sources: list[Source], seed: int = 42) -> DataFrame:
 
 
 def cached_mixture(spark: SparkSession, root: str, sources: list[Source], seed: int = 42) -> DataFrame:
-    config = {"seed": seed, "sources": [[s.name, s.amount, s.steps] for s in sources]}
+    """The mixture stored under its sources, amounts, steps and the state of the data: each source's
+    ``revision``, or else its number of rows, columns and an order-free hash of all its rows."""
+    config = {"seed": seed, "sources": [[s.name, s.amount, s.steps, s.revision or _state(s.frame)] for s in sources]}
     out = io.cached(spark, root, config, lambda: mixture(sources, seed))
     if out.isEmpty():
         raise ValueError("the mixture is empty")

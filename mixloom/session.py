@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,20 +30,30 @@ def get_session(app: str = "mixloom", master: str | None = None, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is set.
+    Only in local mode (tests, one machine) a temporary folder is set where none is named; on a
+    cluster that is an error, as parts would end on each executor's own disk.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or f"file://{tempfile.mkdtemp(prefix='mixloom-')}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='mixloom-')}"
+        _drop_at_exit(spark, folder)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared folder and reads it back, so that later steps neither
-    recompute it nor lose it with an executor."""
+    recompute it nor lose it with an executor. It is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/mixloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

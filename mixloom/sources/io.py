@@ -97,16 +97,24 @@ def config_hash(config: dict, version: str = "v1") -> str:
     return hashlib.sha256(json.dumps(config | {"version": version}, sort_keys=True).encode()).hexdigest()[:10]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def cached(spark: SparkSession, root: str, config: dict, make) -> DataFrame:
-    """The result stored under the hash of its config, made and written on the first call."""
+    """The result stored under the hash of its config, made and written on the first call.
+
+    A result counts as stored when its commit mark is there; any other error of reading is raised,
+    and nothing that is stored is overwritten.
+    """
     path = f"{root.rstrip('/')}/{config_hash(config)}"
-    try:
-        return spark.read.parquet(f"{path}/data")
-    except Exception:  # noqa: BLE001 - the first read of a folder that isn't there
-        df = make()
-        df.write.mode("overwrite").parquet(f"{path}/data")
+    if not _exists(spark, f"{path}/data/_SUCCESS"):
+        # Left over of a run that broke off: it has no commit mark.
+        make().write.mode("overwrite").parquet(f"{path}/data")
         spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
-        return spark.read.parquet(f"{path}/data")
+    return spark.read.parquet(f"{path}/data")
 
 
 def token_dtype(vocabulary: int) -> str:

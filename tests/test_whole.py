@@ -1,4 +1,4 @@
-"""Queries that answer for every row, where an older query of the same kind leaves some out."""
+"""Queries answer for every row."""
 
 import string
 import unicodedata
@@ -19,8 +19,6 @@ def test_rows_and_outputs_of_every_prompt(spark, sf):
     pairs = Counter((k, g, len(outputs[p])) for k, p in rows if p is not None for g in outputs.get(p, ()))
     got = q["outputs_per_row"](spark, sf).join(q["prompt_outputs"](spark, sf), "prompt_id").select("row_id", "gen_id", "num_outputs")
     assert Counter(map(tuple, got.collect())) == pairs
-    old = Counter(map(tuple, q["outputs_per_prompt"](spark, sf).collect()))
-    assert old < pairs and {k for k, _, _ in pairs - old} == {k for k, p in rows if p == "pr-seed-0"}
 
 
 def test_every_evaluator_has_a_mean(spark, sf):
@@ -28,8 +26,6 @@ def test_every_evaluator_has_a_mean(spark, sf):
     judged = spark.read.parquet(f"{sf}/human_evals.parquet").select("model_a", "evaluator").distinct().collect()
     got = {(r["model_a"], r["evaluator"]): r["mean"] for r in q["eval_summary_long"](spark, sf).collect()}
     assert set(got) == set(map(tuple, judged)) and len({e for _, e in got}) > 2
-    for r in q["eval_summary"](spark, sf).collect():
-        assert all(got.get((r["model_a"], e)) == r[e] for e in ("rater_00", "rater_01"))
 
 
 def test_every_item_is_normalised(spark, sf):
@@ -37,8 +33,6 @@ def test_every_item_is_normalised(spark, sf):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/eval_items.parquet").collect()}
     got = {r["item_id"]: r["x"] for r in q["normalized_answers_all"](spark, sf).collect()}
     assert set(got) == set(items) and any(x and not x.isascii() for x in got.values())
-    for r in q["normalized_answers"](spark, sf).collect():
-        assert got[r["item_id"]] == r["x"]
 
 
 def test_normalised_texts_against_brute_force(spark):
