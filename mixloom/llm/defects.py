@@ -34,9 +34,11 @@ BITS = 18
 SIZE = 1 << BITS
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|_|[^\w\s]")
+_DIGITS = re.compile(r"\d+")
 _ALNUM = re.compile(r"[^\W_]+")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿가-힯]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,60}>|\[/?[A-Z_]{2,20}\]|```\w*|~~~\w*")
+_TAG_MARK = re.compile(r"[<\[`~]")
 _THOUGHT = re.compile(r"(?s)^\s*<think(?:ing)?>.*?</think(?:ing)?>")
 _TERMINAL = re.compile(r"[.!?…。！？｡।॥؟۔][\"”»“’)\]』」》）】*_`]*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»“)]*\s+|(?<=[。！？।])[”」』]*|\n+")
@@ -60,6 +62,7 @@ _NAMES = {
 }
 _SCRIPTS = (("ru", re.compile(r"[Ѐ-ӿ]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]")), ("ar", re.compile(r"[؀-ۿ]")), ("ko", re.compile(r"[가-힯]")))
 _KANA, _HAN, _LATIN = re.compile(r"[぀-ヿ]"), re.compile(r"[㐀-鿿]"), re.compile(r"[A-Za-zÀ-ɏ]")
+_OTHER_SCRIPT = re.compile(r"[Ѐ-ӿऀ-ॿ฀-๿؀-ۿ가-힯぀-ヿ㐀-鿿]")
 _LATIN_WORD = re.compile(r"[a-zß-ɏ]+")
 _PART = re.compile(r"[.!?…]\s+|[。！？।\n]+")
 #: What stands for a missing answer.
@@ -76,7 +79,16 @@ def slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) & (SIZE - 1)
 
 
+def slots(names: list[str]) -> list[int]:
+    try:
+        return [zlib.crc32(name.encode()) & (SIZE - 1) for name in names]
+    except UnicodeEncodeError:
+        return [slot(name) for name in names]
+
+
 def _tokens(text: str) -> list[str]:
+    if text.isascii():
+        return _TOKEN.findall(_DIGITS.sub("0", text.lower()))
     return ["0" if t[0].isdigit() else t for t in _TOKEN.findall(text.lower())]
 
 
@@ -123,11 +135,12 @@ class Languages:
     def shares(self, text: str) -> tuple[Counter, int]:
         """Characters of a text by language, sentence by sentence; and how many could be told."""
         found: Counter = Counter()
+        foreign = bool(_OTHER_SCRIPT.search(text))
         for part in _PART.split(text.lower()):
             if not part:
                 continue
             n: dict[str, int] = {}
-            if not part.isascii():
+            if foreign and not part.isascii():
                 for lang, script in _SCRIPTS:
                     if k := len(script.findall(part)):
                         n[lang] = k
@@ -204,7 +217,7 @@ class Features:
             out += [f"e:is{inner}", f"e:shape{bare[:1] in '([{<（'}{bare[-1:] in ')]}>）'}{bool(inner)}", f"e:label{bool(_LABEL.match(bare))}", f"e:colon{bare.endswith((':', '：'))}"]
             out += [f"e:w{w}" for w in _tokens(low)]
             out.append(f"e:holder{low in _HOLDERS or inner in _HOLDERS_INNER}")
-        return [slot(x) for x in out]
+        return slots(out)
 
     def _prompt_parts(self, prompt: str) -> tuple:
         if self._prompt[0] != prompt:
@@ -225,7 +238,7 @@ class Features:
 
     def _copy(self, prompt: str, text: str) -> list[int]:
         tokens, ppairs, n, echo, *_ = self._prompt_parts(prompt)
-        units = self._units(_TAG.sub(" ", text))
+        units = self._units(_TAG.sub(" ", text) if _TAG_MARK.search(text) else text)
         if not units or not n:
             return [slot("c:none")]
         mine = Counter(units)
@@ -285,10 +298,11 @@ class Features:
         shaped = ["0" if t[0].isdigit() else "X" if t[0].isupper() else t for t in pieces[-6:]]
         last = pieces[-1].lower() if pieces and pieces[-1].isalpha() else ""
         seen = "-" if not last else "dense" if _DENSE.search(last) else str(last in self.known)
-        item = bool(re.match(r"\s*(?:[-*•+]|\d+[.)])\s", last_line))
-        items = len(re.findall(r"(?m)^\s*(?:[-*•+]|\d+[.)])\s", text))
-        opened = sum(sentence.count(c) for c in "([{“«„「『《（【") - sum(sentence.count(c) for c in ")]}”»「」』》）】“")
-        left_open = any(text.count(a) > text.count(b) for a, b in ("()", "[]", "{}", "«»", "「」", "『』", "《》", "（）", "【】"))
+        item = bool(_LISTED.match(last_line))
+        items = len(_EVERY_LISTED.findall(text)) if _LIST_MARK.search(text) else 0
+        # Without a bracket the counts are all 0.
+        opened = sum(sentence.count(c) for c in "([{“«„「『《（【") - sum(sentence.count(c) for c in ")]}”»「」』》）】“") if _BRACKET.search(sentence) else 0
+        left_open = bool(_OPENING.search(text)) and any(text.count(a) > text.count(b) for a, b in ("()", "[]", "{}", "«»", "「」", "『』", "《》", "（）", "【】"))
         quotes = sentence.count('"') % 2
         struct = "none"
         if text[:1] in "{[":
@@ -309,19 +323,23 @@ class Features:
         bare = ["-", *line[1:]] if item else line
         out.append(f"t:whole{ends}:" + " ".join(bare) if len(last_line) < 120 else "t:whole")
         out.append(f"t:line{' '.join(line[:3])}{ends}{item}")
-        return [slot(x) for x in out]
+        return slots(out)
+
+
+_LISTED, _EVERY_LISTED, _LIST_MARK = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s"), re.compile(r"(?m)^\s*(?:[-*•+]|\d+[.)])\s"), re.compile(r"[-*•+.)]\s")
+_BRACKET, _OPENING = re.compile(r"[(\[{“«„「『《（【)\]}”»」』》）】]"), re.compile(r"[(\[{«「『《（【]")
 
 
 @lru_cache(100_000)
 def _copy_slots(p: int, r: int, b: int, k: int, ratio: int, echo: bool, n: int) -> list[int]:
     out = [f"c:p{p}", f"c:r{r}", f"c:b{b}", f"c:k{k}", f"c:pr{p}.{r}", f"c:bk{b}.{k}", f"c:min{min(p, r)}", f"c:minb{min(b, k)}", f"c:ratio{ratio}", f"c:echo{echo}", f"c:echomin{echo}{min(p, r)}", f"c:n{n}"]
-    return [slot(x) for x in out]
+    return slots(out)
 
 
 @lru_cache(100_000)
 def _language_slots(inside: int, other: int, fifth: int, half: bool, told: int, sure: int, asked: bool) -> list[int]:
     out = [f"l:in{inside}", f"l:out{other}", f"l:half{half}", f"l:told{told}", f"l:outtold{fifth}.{told}", f"l:sure{sure}.{half}", f"l:asked{asked}.{half}"]
-    return [slot(x) for x in out]
+    return slots(out)
 
 
 #: One fact beside dozens of n-grams needs several slots to weigh as much as they do together.
@@ -670,22 +688,26 @@ def _item_key(line: Column) -> Column:
     return F.when(line.rlike(r"^\s*" + _ITEM), F.xxhash64(F.lower(F.trim(F.regexp_replace(rest, r"\s+", " ")))))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"\s+$", ""), r"\r\n|[\n\r]")
+_BLANKS = " \t\n\x0b\x0c"
+
+
+def _unified(text: Column) -> Column:
+    """The text without white space at its end, lines ended by line feeds only."""
+    return F.rtrim(F.replace(text, F.lit("\r"), F.lit("\n")), F.lit(_BLANKS))
 
 
 def entries_of(completions: DataFrame) -> DataFrame:
     """gen_id, text, outputs (texts) and for each output ``last``: the key of its last line if that is a list item."""
     texts = F.transform("outputs", lambda o: o["text"])
     source = completions.where("gen_id is not null and outputs is not null").select("gen_id", "text", texts.alias("outputs"))
-    at_end = rf"(?:^|[\n\r])\s*{_ITEM}[^\n\r]*\s*$"
-    return source.withColumn("last", F.transform("outputs", lambda t: F.when(t.rlike(at_end), _item_key(F.element_at(_lines(t), -1)))))
+    return source.withColumn("last", F.transform("outputs", lambda t: _item_key(F.substring_index(_unified(t), "\n", -1))))
 
 
 def followed_items(entries: DataFrame) -> DataFrame:
     """Keys of the list items that another line follows at least twice, over all responses."""
-    lines = entries.select(F.explode("outputs").alias("t")).where(F.col("t").rlike(rf"(?:^|[\n\r])\s*{_ITEM}[^\n\r]*[\n\r]")).select(_lines(F.col("t")).alias("lines"))
-    keys = lines.select(F.explode(F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).select(_item_key(F.col("line")).alias("key")).where("key is not null")
+    texts = entries.select(F.explode("outputs").alias("t")).where(F.col("t").contains("\n") | F.col("t").contains("\r")).select(F.split(_unified(F.col("t")), "\n").alias("lines"))
+    lines = texts.select(F.explode(F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
+    keys = lines.where(F.col("line").rlike(r"^\s*" + _ITEM)).select(_item_key(F.col("line")).alias("key"))
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
 
 

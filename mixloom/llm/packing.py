@@ -72,9 +72,9 @@ class Bm25:
         self.n, self.doc = n, doc
         self.vocabulary, self.first, self.df = np.unique(term, return_index=True, return_counts=True)
         self.weight = (corpus.idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        # Long postings are rows of a matrix, at most 16 times the postings in all.
+        # Long postings are rows of a matrix, at most 8 times the postings in all.
         self.row = np.full(len(self.vocabulary), -1)
-        often = np.flatnonzero(self.df * 16 >= n)
+        often = np.flatnonzero(self.df * 8 >= n)
         self.row[often] = np.arange(len(often))
         self.rows = np.zeros((len(often), n), np.float32)
         for r, t in enumerate(often):

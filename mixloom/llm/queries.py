@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mixloom.llm import defects, leaks, mixing, packing, sentences, tokens
+from mixloom.plans.queries_text import _DS
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,4 +63,8 @@ def p7_found(spark, sf):
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_shares, p3_copies, p4_example_tokens, p4_token_budget, p5_ids, p6_found, p6_containers, p6_fill, p7_found)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": f"""with e as (select distinct row_id, {_DS} as key from train_rows where row_id is not null), n as (select key, count(*) as n from e where key is not null group by 1),
+s as (select *, {_DS} as key from mix_spec), z as (select s.mix, s.dataset, s.key, coalesce(s.target_share, 0) as share, s.max_repeats, coalesce(n.n, 0) as n from s left join n using (key)),
+t as (select mix, sum(n) as total from (select distinct mix, key, n from z) group by 1) select z.mix, z.dataset from z join t using (mix) where z.n * z.max_repeats < z.share * t.total"""
+}

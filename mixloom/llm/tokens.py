@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mixloom.functions.names import dataset_key, lang_key
 from mixloom.llm.bpe import encoder, vocabulary_path
+from mixloom.llm.emissions import counter
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -43,8 +44,8 @@ def count_message_tokens(df: DataFrame, keep: dict, messages_col: str = "message
     """``keep`` (name -> column) plus ``n_messages`` and ``n_tokens`` of each row's message contents.
 
     Null lists, null messages and null or empty contents count 0. Exact counts, in linear time:
-    the vocabulary's trie with failure links emits longest matches, which are the tokens wherever
-    neighbours are compatible; elsewhere the encoder backtracks. Narrow, no shuffle.
+    the vocabulary's trie with failure links and precomputed emissions (see ``emissions``). Narrow,
+    no shuffle.
     """
     path = vocabulary or vocabulary_path()
     contents = F.transform(F.col(messages_col), lambda m: m["content"])
@@ -52,7 +53,7 @@ def count_message_tokens(df: DataFrame, keep: dict, messages_col: str = "message
     schema = ", ".join(f"`{n}` {t}" for n, t in source.dtypes if n != "contents") + ", n_messages bigint, n_tokens bigint"
 
     def run(batches):
-        count = encoder(path).count
+        count = counter(path).count
         for batch in batches:
             lists = batch.column("contents")
             ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).astype(np.int64)
@@ -70,17 +71,18 @@ def example_tokens(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     A row delivered several times has the same messages; of its spellings the key is taken, nulls
     giving way to a name. Texts are counted where they are read, so only a few numbers a row are
-    shuffled. Rows without ``row_id`` can't be told to be repeats and are dropped.
+    shuffled. Rows without ``row_id`` can't be told to be repeats, so each is an example of its own.
     """
     keep = {"row_id": F.col("row_id"), "dataset": dataset_key(F.col("dataset")), "lang": lang_key(F.col("lang"))}
-    counted = count_message_tokens(rows.where(F.col("row_id").isNotNull()), keep)
+    single = F.when(F.col("row_id").isNull(), F.monotonically_increasing_id())
+    counted = count_message_tokens(rows.withColumn("_single", single), keep | {"_single": F.col("_single")})
     known = F.when(F.col("lang") != "und", F.col("lang"))
-    return counted.groupBy("row_id").agg(
+    return counted.groupBy("row_id", "_single").agg(
         F.min("dataset").alias("dataset"),
         F.coalesce(F.min(known), F.lit("und")).alias("lang"),
         F.max("n_messages").alias("n_messages"),
         F.max("n_tokens").alias("n_tokens"),
-    )
+    ).drop("_single")
 
 
 def token_budget(rows: DataFrame, info: DataFrame, vocabulary: str | None = None) -> DataFrame:

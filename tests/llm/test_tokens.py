@@ -60,10 +60,10 @@ def test_budget_counts_an_example_once(spark):
     df = spark.createDataFrame(rows, TRAIN)
     each = {r["row_id"]: r for r in tokens.example_tokens(df).collect()}
     assert each[1]["n_tokens"] == 2 and each[1]["dataset"] == "a_b" and each[1]["lang"] == "en" and each[1]["n_messages"] == 3
-    assert each[2]["n_tokens"] == 0 and each[3]["n_tokens"] == 0 and each[4]["n_tokens"] == 1 and len(each) == 4
+    assert each[2]["n_tokens"] == 0 and each[3]["n_tokens"] == 0 and each[4]["n_tokens"] == 1 and each[None]["n_tokens"] == 2 and len(each) == 5
     total = tokens.token_budget(df, info).collect()
-    assert [r["n_tokens"] for r in total if r["level"] == "all"] == [3]
-    assert {(r["domain"], r["n_examples"]) for r in total if r["level"] == "domain"} == {("chat", 2), ("(none)", 2)}
+    assert [r["n_tokens"] for r in total if r["level"] == "all"] == [5]
+    assert {(r["domain"], r["n_examples"]) for r in total if r["level"] == "domain"} == {("chat", 3), ("(none)", 2)}
     empty = tokens.token_budget(spark.createDataFrame([], TRAIN), info).collect()
     assert empty == []
 
@@ -76,6 +76,31 @@ def test_budget_equals_brute_force(spark, sf):
     assert got == want
 
 
+def test_emissions_are_the_longest_matches():
+    from mixloom.llm.emissions import LongestMatch, counter
+
+    rng = random.Random(4)
+    for _ in range(200):
+        tokens = list("abc") + ["".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(1, 12))]
+        ranks = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+        match = LongestMatch(ranks)
+        text = "".join(rng.choice("abc") for _ in range(60))
+        want, at = [], 0
+        while at < len(text):
+            n = max(k for k in range(1, 7) if text[at : at + k] in ranks and at + k <= len(text))
+            want.append(ranks[text[at : at + n]])
+            at += n
+        assert match.tokens(text) == want
+    with pytest.raises(ValueError):
+        LongestMatch({"ab": 0, "a": 1})
+    own, ref = counter(vocabulary_path()), reference()
+    for _ in range(2000):
+        s = "".join(rng.choice("aeiou thsrnmg ABCäß中文字🙂กกि  \n\t'0123.,") for _ in range(rng.randint(0, 60)))
+        assert own.count(s) == len(ref.encode_ordinary(s)), s
+    for s in ("a" * 50_000, "ab" * 20_000, " " * 3_000, "漢字" * 5_000):
+        assert own.count(s) == len(ref.encode_ordinary(s))
+
+
 def check_packing(rows, counts, capacity):
     used, pieces = {}, {}
     for r in rows:
