@@ -8,7 +8,7 @@ from mixloom.functions import rl
 from mixloom.functions.text import split_words
 from mixloom.operators import filters, joins, mixing, packing, preference, stats
 from mixloom.plans import registry
-from mixloom.plans.queries_text import _DOCS, _QS, _SCORES, read, words_sql
+from mixloom.plans.queries_text import _DOCS, _QS, _SCORES, read, strip_sql, words_sql
 from mixloom.streaming import rollouts
 
 QUERIES: dict = {}
@@ -409,7 +409,15 @@ def rank_pairs(spark, sf):
     return preference.ranked_pair(read(spark, sf, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")), "l_orderkey", "l_linenumber", "l_quantity", "k").select("l_orderkey", "chosen", "rejected")
 
 
-@q()
+_BLANK = f"len(list_filter(m, lambda x: {strip_sql('coalesce(x.content, ' + chr(39) * 2 + ')')} = '')) > 0"
+_NAMED = f"len(list_filter(m, lambda x: x.role = 'assistant' and regexp_matches(lower(coalesce(x.content, '')), '\\b({filters.KEYWORDS})\\b'))) > 0"
+
+
+@q(
+    f"""with r as (select row_id, any_value(messages) as m from train_rows where messages is not null group by 1), few as (select * from r order by {H('row_id')}, row_id limit 100),
+p as (select 0 as place, row_id, 'all' as dataset_source from r where not ({_BLANK}) and not ({_NAMED}) union all select 1, row_id, 'few' from few where not ({_BLANK}))
+select row_number() over (order by place, row_id) - 1 as index, row_id, dataset_source from p"""
+)
 def mixture_plan(spark, sf):
     rows = read(spark, sf, "train_rows").dropDuplicates(["row_id"]).select("row_id", "messages").where("messages is not null")
     out = registry.mixture([registry.Source("all", rows, "row_id", 1.0, [("drop_blank", {}), ("drop_assistant_names", {})]), registry.Source("few", rows, "row_id", 100, [("drop_blank", {})])])

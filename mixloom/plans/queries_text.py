@@ -350,7 +350,17 @@ def verify_lengths(spark, sf):
     return stimulated(spark, sf).select("row_id", F.round(V.max_length(n, F.lit(30)), 6).alias("exact"), F.round(V.up_to_max_length(n, F.lit(30)), 6).alias("at_most"))
 
 
-@q()
+def _thoughtless(x: str) -> str:
+    tail = f"string_split(replace({x}, '<|assistant|>', ''), '</think>')[-1]"
+    return strip_sql(f"replace(replace({tail}, '<answer>', ''), '</answer>', '')")
+
+
+@q(
+    f"""with o as (select gen_id, i - 1 as n, text, outputs[i].text as x from (select *, unnest(range(1, len(outputs) + 1)) as i from completions) where outputs[i].text is not null),
+t as (select gen_id, n, {norm_sql(_thoughtless('x'))} as a, {norm_sql('text')} as b from o), w as (select *, list_filter(string_split(a, ' '), lambda v: v <> '') as p, list_filter(string_split(coalesce(b, ''), ' '), lambda v: v <> '') as q from t),
+s as (select *, coalesce(list_sum(list_transform(list_distinct(p), lambda v: least(len(list_filter(p, lambda y: y = v)), len(list_filter(q, lambda y: y = v))))), 0) as same from w)
+select gen_id, n::int as n, round(case when same = 0 then 0 else 2.0 * same / (len(p) + len(q)) end, 6)::double as f1, coalesce(a = b, false)::int::double as same from s"""
+)
 def verify_f1(spark, sf):
     c = read(spark, sf, "completions").where("outputs is not null").select("gen_id", "text", F.posexplode("outputs").alias("n", "o"))
     return c.where("o.text is not null").select("gen_id", "n", F.round(V.string_f1(F.col("o.text"), F.array("text")), 6).alias("f1"), V.puzzle(F.col("o.text"), F.col("text")).alias("same"))
