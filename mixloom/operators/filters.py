@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.functions.text import strip
-
 #: providers' names.
 PROVIDERS = ["OpenAI", "Open AI", "Claude", "Gemini", "Qwen", "DeepSeek", "Anthropic", "Meta AI", "Meta's", "ChatGPT", "Cohere", "Mistral AI", "Mistral's", "xAI", "Perplexity"]
 _P = "(" + "|".join(PROVIDERS) + ")"
@@ -99,7 +97,7 @@ def names_assistant(messages: Column) -> Column:
 
 
 def has_blank(messages: Column) -> Column:
-    return F.coalesce(F.exists(messages, lambda m: strip(F.coalesce(m["content"], F.lit(""))) == ""), F.lit(False))
+    return F.coalesce(F.exists(messages, lambda m: ~F.coalesce(m["content"], F.lit("")).rlike(r"(?U)\S")), F.lit(False))
 
 
 def clean_metadata(toxic: Column, redacted: Column, language: Column, wanted: str) -> Column:

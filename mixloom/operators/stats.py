@@ -11,11 +11,16 @@ THRESHOLDS = (512, 768, 1024, 1536, 2048, 4096)
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max of each column, one row each."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select("m.*")
-    # Exact quartiles from the counts of each value, which the tasks add up before they meet.
-    counts = long.groupBy("measure", "v").agg(F.count("v").alias("_n")).where("v is not null")
-    quartiles = counts.groupBy("measure").agg(*[F.percentile("v", F.lit(p), F.col("_n")).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    totals = long.groupBy("measure").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
-    return totals.join(quartiles, "measure", "left").select("measure", "n", "mean", "std", "least", "p25", "p50", "p75", "most")
+    # Everything comes from the counts of each value, which the tasks add up before they meet, so the
+    # measures are computed once and no task sees all values.
+    counts = long.where("v is not null").groupBy("measure", "v").agg(F.count(F.lit(1)).alias("_n"))
+    n, total = F.sum("_n"), F.sum(F.col("v") * F.col("_n"))
+    # Measures without a value keep their row.
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "measure string")
+    q = [F.percentile("v", F.lit(p), F.col("_n")).alias(name) for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("v") * F.col("v") * F.col("_n")) - total * total / n) / F.nullif(n - 1, F.lit(0)))
+    found = counts.groupBy("measure").agg(n.alias("n"), (total / n).alias("mean"), spread.alias("std"), F.min("v").alias("least"), *q, F.max("v").alias("most"))
+    return every.join(found, "measure", "left").na.fill(0, ["n"]).select("measure", "n", "mean", "std", "least", "p25", "p50", "p75", "most")
 
 
 def over_thresholds(df: DataFrame, column: str, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:

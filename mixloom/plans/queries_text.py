@@ -80,7 +80,7 @@ n as (select row_id, len(ms) as turns, list_sum(list_transform(ms, lambda m: len
 def conversation_sizes(spark, sf):
     rows = train(spark, sf).where("messages is not null").where(~filters.has_blank(F.col("messages")))
     ms = F.filter("messages", lambda m: m["role"] != "system")
-    count = lambda a: F.aggregate(a, F.lit(0), lambda s, m: s + F.size(T.split_words(m["content"])))
+    count = lambda a: F.aggregate(a, F.lit(0), lambda s, m: s + T.count_matches(m["content"], r"(?U)\S+"))
     return rows.select("row_id", ms.alias("ms")).where(F.size("ms") > 0).select("row_id", F.size("ms").alias("turns"), count(F.col("ms")).alias("tokens"), count(F.filter("ms", lambda m: m["role"] == "user")).alias("user_tokens"))
 
 
