@@ -22,7 +22,7 @@ from mixloom.session import cut
 
 CAPACITY = 2048
 #: Most items of a shard, on average, and shards of which the underfilled containers meet.
-SHARD_ITEMS, FAN = 32_768, 64
+SHARD_ITEMS, FAN = 65_536, 64
 #: Items the router is fitted on, its dimensions and most clusters.
 SAMPLE_ITEMS, DIMENSIONS, MOST_CLUSTERS = 4096, 256, 512
 #: Clusters at least so similar (cosine of their centroids) share a shard if it can hold them.
@@ -72,9 +72,9 @@ class Bm25:
         self.n, self.doc = n, doc
         self.vocabulary, self.first, self.df = np.unique(term, return_index=True, return_counts=True)
         self.weight = (corpus.idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        # Long postings are rows of a matrix, at most 8 times the postings in all.
+        # Long postings are rows of a matrix, at most 6 times the postings in all.
         self.row = np.full(len(self.vocabulary), -1)
-        often = np.flatnonzero(self.df * 8 >= n)
+        often = np.flatnonzero(self.df * 6 >= n)
         self.row[often] = np.arange(len(often))
         self.rows = np.zeros((len(often), n), np.float32)
         for r, t in enumerate(often):
