@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,7 @@ _SCRIPTS = (("ru", re.compile(r"[Ѐ-ӿ]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("
 _KANA, _HAN, _LATIN = re.compile(r"[぀-ヿ]"), re.compile(r"[㐀-鿿]"), re.compile(r"[A-Za-zÀ-ɏ]")
 _OTHER_SCRIPT = re.compile(r"[Ѐ-ӿऀ-ॿ฀-๿؀-ۿ가-힯぀-ヿ㐀-鿿]")
 _LATIN_WORD = re.compile(r"[a-zß-ɏ]+")
+_WORD_OR_END = re.compile(r"[a-zß-ɏ]+|\n")
 _PART = re.compile(r"[.!?…]\s+|[。！？।\n]+")
 #: What stands for a missing answer.
 PLACEHOLDERS = (
@@ -86,6 +88,14 @@ def slots(names: list[str]) -> list[int]:
         return [slot(name) for name in names]
 
 
+def _continued(starts: list[int], rest: list[str]) -> list[int]:
+    """Slots of names whose beginnings have the CRCs ``starts``."""
+    try:
+        return [zlib.crc32(x.encode(), crc) & (SIZE - 1) for crc, x in zip(starts, rest)]
+    except UnicodeEncodeError:
+        return [zlib.crc32(x.encode("utf-8", "replace"), crc) & (SIZE - 1) for crc, x in zip(starts, rest)]
+
+
 def _tokens(text: str) -> list[str]:
     if text.isascii():
         return _TOKEN.findall(_DIGITS.sub("0", text.lower()))
@@ -98,7 +108,9 @@ _INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000)
 def plain(text: str) -> str:
     if text.isascii():
         return _INVISIBLE.sub("", text).strip() if not text.isprintable() else text.strip()
-    return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).strip()
+    text = unicodedata.normalize("NFKC", text)
+    # No printable text holds what is removed.
+    return text.strip() if text.isprintable() else _INVISIBLE.sub("", text).strip()
 
 
 class _Hashed(dict):
@@ -160,6 +172,52 @@ class Languages:
                 found[lang] += k
         return found, sum(found.values())
 
+    def _table(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """A number for each word, at it the word's scores and length; the end of a sentence is -2."""
+        if getattr(self, "_made", (None,))[0] is not self.scores:
+            words = list(self.scores)
+            scores = np.array([self.scores[w] for w in words], np.float64).reshape(len(words), len(self.langs))
+            self._made = (self.scores, ({w: i for i, w in enumerate(words)} | {"\n": -2}, scores, np.array([len(w) for w in words], np.int64)))
+        return self._made[1]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_made"}
+
+    def shares_many(self, texts: list[str]) -> list[tuple[dict, int]]:
+        """What ``shares`` tells about each text, for all at once where only words of Latin scripts tell it."""
+        out: list[tuple[dict, int]] = [({}, 0)] * len(texts)
+        at, lengths, every = [], [], []
+        for i, text in enumerate(texts):
+            if not text.isascii() and _OTHER_SCRIPT.search(text):
+                out[i] = self.shares(text)
+                continue
+            words = _WORD_OR_END.findall(_PART.sub("\n", text.lower()))
+            at.append(i)
+            lengths.append(len(words))
+            every += words
+        if not every or not self.scores:
+            return out
+        index, scores, sizes = self._table()
+        ids = np.fromiter(map(index.get, every, repeat(-1)), np.int64, len(every))
+        row = np.repeat(np.arange(len(at)), lengths)
+        part = np.cumsum(ids == -2) + row
+        n = int(part[-1]) + 1
+        known = ids >= 0
+        ids, row, part = ids[known], row[known], part[known]
+        sums = np.stack([np.bincount(part, weights=scores[ids, k], minlength=n) for k in range(len(self.langs))])
+        chars = np.bincount(part, weights=sizes[ids], minlength=n)
+        of = np.zeros(n, np.int64)
+        of[part] = row
+        sure = chars > 0
+        if len(sums) > 1:
+            order = np.sort(sums, axis=0)
+            sure &= order[-1] - order[-2] > 0.7
+        cell = of[sure] * len(sums) + sums.argmax(axis=0)[sure]
+        found = np.bincount(cell, weights=chars[sure], minlength=len(at) * len(sums)).astype(np.int64).reshape(len(at), len(sums))
+        for i, counts in zip(at, found.tolist()):
+            out[i] = ({lang: k for lang, k in zip(self.langs, counts) if k}, sum(counts))
+        return out
+
 
 _EVERY_NAME = re.compile("|".join(re.escape(name) for names in _NAMES.values() for name in names.split()))
 
@@ -183,6 +241,29 @@ class Features:
         """Slots of all defects; ``followed`` says that other responses go on after the last line, a list item."""
         return {d: self.one(d, prompt, text, followed) for d in DEFECTS}
 
+    def many(self, pairs: list[tuple], followed: list[bool] | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """What ``of`` gives for each pair, packed as by ``Linear.pack``."""
+        asked = list(dict.fromkeys(p or "" for p, _ in pairs))
+        clean = [plain(p) for p in asked]
+        told = dict(zip(asked, zip(clean, self.languages.shares_many(clean))))
+        parts = [self._parts(t or "") for _, t in pairs]
+        answers = [answer for *_, answer in parts]
+        shares = self.languages.shares_many([_code_free(a) if "`" in a else a for a in answers])
+        rows: dict[str, list[list[int]]] = {d: [] for d in DEFECTS if d != "refusal"}
+        for (p, _), (raw, text, answer), mine, goes_on in zip(pairs, parts, shares, followed or repeat(False)):
+            self._prompt_parts(p or "", told[p or ""])
+            rows["empty"].append(self._empty(answer))
+            rows["copy"].append(self._copy(p or "", answer))
+            rows["language"].append(self._language(p or "", answer, mine))
+            rows["truncated"].append(self._truncated(raw.rstrip(), text, goes_on))
+        packed = {}
+        for d, found in rows.items():
+            ends = np.concatenate([[0], np.cumsum([len(r) for r in found], dtype=np.int64)])
+            packed[d] = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1])), ends
+        flat, row = self._refusals(answers)
+        packed["refusal"] = flat[np.argsort(row, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(pairs)))])
+        return packed
+
     def one(self, defect: str, prompt: str | None, text: str | None, followed: bool = False) -> np.ndarray:
         raw, clean, answer = self._parts(text or "")
         prompt = prompt or ""
@@ -191,7 +272,7 @@ class Features:
         elif defect == "copy":
             found = self._copy(prompt, answer)
         elif defect == "refusal":
-            found = self._refusal(answer)
+            found = self._refusals([answer])[0]
         elif defect == "language":
             found = self._language(prompt, answer)
         else:
@@ -219,11 +300,10 @@ class Features:
             out.append(f"e:holder{low in _HOLDERS or inner in _HOLDERS_INNER}")
         return slots(out)
 
-    def _prompt_parts(self, prompt: str) -> tuple:
+    def _prompt_parts(self, prompt: str, told: tuple[str, tuple[dict, int]] | None = None) -> tuple:
         if self._prompt[0] != prompt:
-            clean = plain(prompt)
+            clean, (found, n) = told or (clean := plain(prompt), self.languages.shares(clean))
             units = self._units(clean)
-            found, n = self.languages.shares(clean)
             self._prompt = (prompt, (Counter(units), set(zip(units, units[1:])), len(units), bool(_ECHO.search(clean)), found, n, _asked(clean)))
         return self._prompt[1]
 
@@ -241,37 +321,45 @@ class Features:
         units = self._units(_TAG.sub(" ", text) if _TAG_MARK.search(text) else text)
         if not units or not n:
             return [slot("c:none")]
-        mine = Counter(units)
-        precision = sum(k for t, k in mine.items() if t in tokens) / len(units)
-        recall = sum(min(k, mine[t]) for t, k in tokens.items()) / n
-        pairs = set(zip(units, units[1:]))
-        both = len(pairs & ppairs) / max(1, len(pairs)) if len(units) > 1 else 0
-        back = len(pairs & ppairs) / max(1, len(ppairs))
+        inside = list(filter(tokens.__contains__, units))
+        mine = Counter(inside)
+        precision = len(inside) / len(units)
+        recall = sum(min(k, tokens[t]) for t, k in mine.items()) / n
+        # Without two words of the prompt no pair of them can be its own.
+        pairs = set(zip(units, units[1:])) if len(inside) > 1 else set()
+        shared = len(pairs & ppairs)
+        both, back = shared / max(1, len(pairs)), shared / max(1, len(ppairs))
         return _copy_slots(int(precision * 10), int(recall * 10), int(both * 10), int(back * 10), int(min(4, len(units) / n) * 3), echo, min(len(units), 10))
 
-    def _refusal(self, text: str) -> np.ndarray:
-        tokens = _tokens(text.replace("’", "'"))
-        h = np.fromiter(map(_hashed.__getitem__, tokens), np.int64, len(tokens))
-        parts = [h]
-        if len(h) > 1:
-            two = (h[:-1] * 1_000_003 + h[1:]) & 0x7FFFFFFFFFFF
-            parts.append(two)
-            if len(h) > 2:
-                parts.append((two[:-1] * 1_000_003 + h[2:]) & 0x7FFFFFFFFFFF)
-        if not text.isascii() and _DENSE.search(text):
-            c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 0x1000000
-            for _ in range(3):
-                if len(c) < 2:
-                    break
-                c = (c[:-1] * 1_000_003 + np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[-len(c) + 1 :]) & 0x7FFFFFFFFFFF
-                parts.append(c)
-        every = np.concatenate(parts) if parts else h
+    def _refusals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of all texts, and for each slot the number of its text."""
+        tokens = [_tokens(text.replace("’", "'")) for text in texts]
+        lengths = [len(t) for t in tokens]
+        h = np.fromiter(map(_hashed.__getitem__, chain.from_iterable(tokens)), np.int64, sum(lengths))
+        row = np.repeat(np.arange(len(texts)), lengths)
+        two = (h[:-1] * 1_000_003 + h[1:]) & 0x7FFFFFFFFFFF
+        three = (two[:-1] * 1_000_003 + h[2:]) & 0x7FFFFFFFFFFF
+        # No n-gram reaches from a text into the next.
+        inside2, inside3 = row[1:] == row[:-1], row[2:] == row[:-2]
+        parts, rows = [h, two[inside2], three[inside3]], [row, row[1:][inside2], row[2:][inside3]]
+        for i, text in enumerate(texts):
+            if not text.isascii() and _DENSE.search(text):
+                chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                c = chars + 0x1000000
+                for _ in range(3):
+                    if len(c) < 2:
+                        break
+                    c = (c[:-1] * 1_000_003 + chars[-len(c) + 1 :]) & 0x7FFFFFFFFFFF
+                    parts.append(c)
+                    rows.append(np.full(len(c), i))
+        every = np.concatenate(parts)
         every = ((every ^ (every >> 17)) * 0x9E3779B1 >> 11) & (SIZE - 1)
-        return np.append(every, slot(f"r:len{int(math.log2(len(text) + 1))}"))
+        sizes = [_length_slot(int(math.log2(len(text) + 1))) for text in texts]
+        return np.concatenate([every, np.array(sizes, np.int64)]).astype(np.int32), np.concatenate([*rows, np.arange(len(texts))])
 
-    def _language(self, prompt: str, text: str) -> list[int]:
+    def _language(self, prompt: str, text: str, shares: tuple[dict, int] | None = None) -> list[int]:
         *_, found, n, asked = self._prompt_parts(prompt)
-        mine, told = self.languages.shares(_code_free(text) if "`" in text else text)
+        mine, told = shares or self.languages.shares(_code_free(text) if "`" in text else text)
         if told < 6 or n < 2:
             return [slot("l:unknown")]
         top = {lang for lang, k in found.items() if k >= 0.3 * n}
@@ -290,20 +378,16 @@ class Features:
         tokens = ["0" if t[0].isdigit() else t.lower() for t in pieces[-6:]]
         end = text[-1]
         kind = "L" if end.isalpha() else "D" if end.isdigit() else end
-        out = [f"t:end{kind}", f"t:ends{ends}", f"t:fence{fences}"] + ([f"t:followed{k}" for k in range(FOLLOWED_SLOTS)] if followed else [])
-        for k in range(1, min(7, len(tokens) + 1)):
-            out.append(f"t:w{k}:" + " ".join(tokens[-k:]))
         last_line = text.rsplit("\n", 1)[-1].strip()
         sentence = _last_sentence(text) or last_line
         shaped = ["0" if t[0].isdigit() else "X" if t[0].isupper() else t for t in pieces[-6:]]
         last = pieces[-1].lower() if pieces and pieces[-1].isalpha() else ""
         seen = "-" if not last else "dense" if _DENSE.search(last) else str(last in self.known)
         item = bool(_LISTED.match(last_line))
-        items = len(_EVERY_LISTED.findall(text)) if _LIST_MARK.search(text) else 0
+        items = len(_EVERY_LISTED.findall(text)) if "\n" in text and _LIST_MARK.search(text) else int(item)
         # Without a bracket the counts are all 0.
-        opened = sum(sentence.count(c) for c in "([{“«„「『《（【") - sum(sentence.count(c) for c in ")]}”»「」』》）】“") if _BRACKET.search(sentence) else 0
-        left_open = bool(_OPENING.search(text)) and any(text.count(a) > text.count(b) for a, b in ("()", "[]", "{}", "«»", "「」", "『』", "《》", "（）", "【】"))
-        quotes = sentence.count('"') % 2
+        opened = len(_OPENED.findall(sentence)) - len(_CLOSED.findall(sentence)) if _BRACKET.search(sentence) else 0
+        left_open = bool(_OPENING.search(text)) and any(text.count(a) > text.count(b) for a, b in _PAIRS)
         struct = "none"
         if text[:1] in "{[":
             try:
@@ -313,17 +397,20 @@ class Features:
                 struct = "broken"
         inside = _tokens(sentence)
         n = len(inside)
-        first = " ".join(inside[:2])
-        out += [f"t:seen{seen}", f"t:seenends{seen}{ends}", f"t:item{item}{min(items, 3)}{ends}", f"t:open{opened > 0}{ends}", f"t:left{left_open}{ends}", f"t:quote{quotes}{ends}", f"t:struct{struct}", f"t:n{min(n, 20)}{ends}", f"t:first{first}{ends}{min(n, 16) // 2}", f"t:only{not _SENTENCE.search(text)}{ends}{min(n, 8)}", f"t:closed{text.endswith('```')}{fences}", f"t:space{raw != text}"]
-        for k in range(1, min(7, len(shaped) + 1)):
-            out.append(f"t:s{k}:" + " ".join(shaped[-k:]))
-        tail = re.sub(r"\d", "0", text[-8:])
-        out += [f"t:c{k}:" + tail[-k:] for k in range(1, 9)]
-        line = _tokens(last_line[:120])
+        whole = len(last_line) < 120
+        line = inside if whole and last_line == sentence else _tokens(last_line) if whole else _first_tokens(last_line[:120])
         bare = ["-", *line[1:]] if item else line
-        out.append(f"t:whole{ends}:" + " ".join(bare) if len(last_line) < 120 else "t:whole")
-        out.append(f"t:line{' '.join(line[:3])}{ends}{item}")
-        return slots(out)
+        tail = _DIGIT.sub("0", text[-8:])
+        out = [*_end_slots(kind, ends, fences, bool(followed))]
+        out += _continued(_WORDS, _suffixes(tokens))
+        out += _form_slots(seen, ends, item, min(items, 3), opened > 0, left_open, sentence.count('"') % 2, struct, min(n, 20))
+        out.append(slot(f"t:first{' '.join(inside[:2])}{ends}{min(n, 16) // 2}"))
+        out += _rest_slots(not _SENTENCE.search(text), ends, min(n, 8), text.endswith("```"), fences, raw != text)
+        out += _continued(_SHAPES, _suffixes(shaped))
+        out += _continued(_TAILS, [tail[-k:] for k in range(1, 9)])
+        out.append(slot(f"t:whole{ends}:" + " ".join(bare) if whole else "t:whole"))
+        out.append(slot(f"t:line{' '.join(line[:3])}{ends}{item}"))
+        return out
 
 
 _LISTED, _EVERY_LISTED, _LIST_MARK = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s"), re.compile(r"(?m)^\s*(?:[-*•+]|\d+[.)])\s"), re.compile(r"[-*•+.)]\s")
@@ -342,14 +429,54 @@ def _language_slots(inside: int, other: int, fifth: int, half: bool, told: int,
     return slots(out)
 
 
+@lru_cache(100)
+def _length_slot(n: int) -> int:
+    return slot(f"r:len{n}")
+
+
 #: One fact beside dozens of n-grams needs several slots to weigh as much as they do together.
 FOLLOWED_SLOTS = 8
+#: CRCs with which the names of the last words, of their shapes and of the last characters begin.
+_WORDS, _SHAPES, _TAILS = ([zlib.crc32(f"t:{kind}{k}:".encode()) for k in range(1, most)] for kind, most in (("w", 7), ("s", 7), ("c", 9)))
+_DIGIT, _OPENED, _CLOSED = re.compile(r"\d"), re.compile(r"[(\[{“«„「『《（【]"), re.compile(r"[)\]}”»「」』》）】“]")
+_PAIRS = ("()", "[]", "{}", "«»", "「」", "『』", "《》", "（）", "【】")
+
+
+@lru_cache(10_000)
+def _end_slots(kind: str, ends: bool, fences: bool, followed: bool) -> tuple[int, ...]:
+    return tuple(slots([f"t:end{kind}", f"t:ends{ends}", f"t:fence{fences}"] + ([f"t:followed{k}" for k in range(FOLLOWED_SLOTS)] if followed else [])))
+
+
+@lru_cache(100_000)
+def _form_slots(seen: str, ends: bool, item: bool, items: int, opened: bool, left_open: bool, quotes: int, struct: str, n: int) -> tuple[int, ...]:
+    return tuple(slots([f"t:seen{seen}", f"t:seenends{seen}{ends}", f"t:item{item}{items}{ends}", f"t:open{opened}{ends}", f"t:left{left_open}{ends}", f"t:quote{quotes}{ends}", f"t:struct{struct}", f"t:n{n}{ends}"]))
+
+
+@lru_cache(10_000)
+def _rest_slots(only: bool, ends: bool, n: int, closed: bool, fences: bool, space: bool) -> tuple[int, ...]:
+    return tuple(slots([f"t:only{only}{ends}{n}", f"t:closed{closed}{fences}", f"t:space{space}"]))
+
+
+def _suffixes(tokens: list[str]) -> list[str]:
+    """The last token, the last two, .. and all of them."""
+    out: list[str] = []
+    for t in reversed(tokens):
+        out.append(f"{t} {out[-1]}" if out else t)
+    return out
+
+
+def _first_tokens(text: str, n: int = 3) -> list[str]:
+    if text.isascii():
+        return [m[0] for m in islice(_TOKEN.finditer(_DIGITS.sub("0", text.lower())), n)]
+    return ["0" if m[0][0].isdigit() else m[0] for m in islice(_TOKEN.finditer(text.lower()), n)]
+
+
 _TERMINALS, _CLOSING = frozenset(".!?…。！？｡।॥؟۔"), "\"”»“’)]』」》）】*_`"
 
 
 def _last_tokens(text: str) -> list[str]:
     """At least the last six tokens of a text, if it has so many."""
-    size = 160
+    size = 40
     while True:
         pieces = _TOKEN.findall(text[-size:])
         # The first token may be cut off by the window.
@@ -390,7 +517,9 @@ class Linear:
         return np.concatenate(rows) if rows else np.empty(0, np.int32), np.concatenate([[0], np.cumsum(lengths)])
 
     def margins(self, rows: list[np.ndarray]) -> np.ndarray:
-        flat, ends = self.pack(rows)
+        return self.packed_margins(*self.pack(rows))
+
+    def packed_margins(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(self.w[flat], dtype=np.float64)])
         n = np.maximum(1, np.diff(ends))
         return (sums[ends[1:]] - sums[ends[:-1]]) / np.sqrt(n) + self.b
@@ -647,8 +776,8 @@ def classify(features: Features, models: dict[str, Linear], pairs: list[tuple],
     """The defect of each pair, or none. An entry gets the defect whose model is surest."""
     if not pairs:
         return []
-    feats = [features.of(p, t, x) for (p, t), x in zip(pairs, followed or [False] * len(pairs))]
-    scores = np.stack([models[d].margins([f[d] for f in feats]) - math.log(models[d].threshold / (1 - models[d].threshold)) if models[d].threshold < 1 else np.full(len(pairs), -1.0) for d in DEFECTS])
+    packed = features.many(pairs, followed)
+    scores = np.stack([models[d].packed_margins(*packed[d]) - math.log(models[d].threshold / (1 - models[d].threshold)) if models[d].threshold < 1 else np.full(len(pairs), -1.0) for d in DEFECTS])
     best = scores.argmax(axis=0)
     return [("empty" if scores[0, i] >= 0 else DEFECTS[best[i]]) if scores[:, i].max() >= 0 else None for i in range(len(pairs))]
 
