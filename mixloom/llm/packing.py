@@ -30,6 +30,8 @@ ALIKE = 0.4
 #: Seeds that are scored together.
 BLOCK = 48
 K1, B = 1.2, 0.75
+#: Placed items leave the index when less than this share of it is unused.
+KEPT = 0.8
 #: Below this share of the capacity the last item of a container is chosen by size.
 CLOSING = 0.25
 #: An item that leaves at most this share of the capacity closes a container.
@@ -67,7 +69,8 @@ class Bm25:
         norm = K1 * (1 - B + B * np.array([c.sum() for c in counts], np.float32) / corpus.mean)
         useful = corpus.idf[term] > 0
         doc, term, tf = doc[useful], term[useful], tf[useful]
-        order = np.argsort(term, kind="stable")
+        # Short numbers are sorted in linear time.
+        order = np.argsort(term.astype(np.uint16) if len(term) and term.max() < 1 << 16 else term, kind="stable")
         doc, term, tf = doc[order], term[order], tf[order]
         self.n, self.doc = n, doc
         self.vocabulary, self.first, self.df = np.unique(term, return_index=True, return_counts=True)
@@ -80,8 +83,9 @@ class Bm25:
         for r, t in enumerate(often):
             self.rows[r, self.doc[self.first[t] : self.first[t] + self.df[t]]] = self.weight[self.first[t] : self.first[t] + self.df[t]]
 
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """Score of each item of the shard for each query of distinct terms, one row a query."""
+    def often(self, queries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query of distinct terms what its frequent terms add to each item's score, and the
+        places of the others, which ``whole`` adds."""
         picked = np.zeros((len(queries), len(self.rows)), np.float32)
         rare = []
         for i, terms in enumerate(queries):
@@ -90,56 +94,85 @@ class Bm25:
             dense = self.row[at] >= 0
             picked[i, self.row[at[dense]]] = 1
             rare.append(at[~dense])
-        out = picked @ self.rows
-        for i, at in enumerate(rare):
-            if len(at):
-                first, df = self.first[at], self.df[at]
-                where = np.repeat(first - np.concatenate([[0], np.cumsum(df)[:-1]]), df) + np.arange(df.sum())
-                out[i] += np.bincount(self.doc[where], weights=self.weight[where], minlength=self.n)
-        return out
+        return list(zip(picked @ self.rows, rare))
+
+    def whole(self, scores: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        if len(rare):
+            lists = [slice(a, a + n) for a, n in zip(self.first[rare].tolist(), self.df[rare].tolist())]
+            doc, weight = np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists])
+            scores += np.bincount(doc, weights=weight, minlength=self.n)
+        return scores
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Score of each item of the shard for each query of distinct terms, one row a query."""
+        return np.array([self.whole(*x) for x in self.often(queries)], np.float32).reshape(len(queries), self.n)
+
+    def keep(self, items: np.ndarray) -> None:
+        """Leaves only the items of a mask, numbered anew in the same order; their scores stay."""
+        number = np.cumsum(items, dtype=np.int32) - 1
+        left = items[self.doc]
+        before = np.concatenate([[0], np.cumsum(left)])
+        first = before[self.first]
+        self.df = before[self.first + self.df] - first
+        self.first, self.n = first, int(items.sum())
+        self.doc, self.weight = number[self.doc[left]], self.weight[left]
+        self.rows = self.rows[:, items]
 
 
 def fill(sizes: np.ndarray, terms: list, counts: list, capacity: int = CAPACITY, corpus: Corpus | None = None) -> list[list[int]]:
     """Containers (lists of item numbers) of items no larger than the capacity, every item in one.
 
-    Items without tokens join the first container. Ties go to the earlier item, so equal input
-    gives equal output.
+    Items without tokens join the first container. Ties go to the larger, then to the earlier item,
+    so equal input gives equal output. Placed items leave the index from time to time, so that the
+    later seeds are scored against what is left only.
     """
     n = len(sizes)
     if not n:
         return []
-    index = Bm25(terms, counts, corpus)
-    unused = sizes > 0
+    # Items by falling size: those that fit a room are the end of the list.
+    live = np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())]
+    index = Bm25([terms[i] for i in live], [counts[i] for i in live], corpus or Corpus.of(terms, counts))
+    falling = -sizes[live].astype(np.int64)
+    unused = np.ones(len(live), bool)
     made = []
-    order = np.argsort(-sizes, kind="stable")
-    scored: dict[int, np.ndarray] = {}
-    for at, seed in enumerate(order):
-        if not unused[seed]:
-            scored.pop(seed, None)
-            continue
+    scored: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    left_over, slack = len(live), SLACK * capacity
+    seed = 0
+    while left_over:
+        seed += int(np.argmax(unused[seed:]))
         if seed not in scored:
-            ahead = order[at : at + 4 * BLOCK]
+            if left_over < KEPT * len(live):
+                index.keep(unused)
+                live, falling = live[unused], falling[unused]
+                unused, seed = np.ones(len(live), bool), 0
+            ahead = np.arange(seed, min(seed + 4 * BLOCK, len(live)))
             ahead = ahead[unused[ahead]][:BLOCK]
-            scored = dict(zip(ahead.tolist(), index.scores([terms[i] for i in ahead])))
-        scores = scored.pop(int(seed))
+            scored = dict(zip(ahead.tolist(), index.often([terms[live[i]] for i in ahead])))
+        scores = index.whole(*scored.pop(seed))
         unused[seed] = False
-        container, room = [int(seed)], capacity - int(sizes[seed])
+        scores[~unused] = -np.inf
+        container, room = [int(live[seed])], capacity + int(falling[seed])
+        left_over -= 1
         while room > 0:
-            fits = np.flatnonzero(unused & (sizes <= room))
-            if not len(fits):
+            first = int(np.searchsorted(falling, -room))
+            some = first + int(np.argmax(unused[first:])) if first < len(live) else first
+            if some == len(live) or not unused[some]:
                 break
-            left = room - sizes[fits]
-            closing = fits[left <= SLACK * capacity]
+            # Those that leave next to no room; ``some`` is the largest that fits.
+            closing = scores[some : np.searchsorted(falling, int(slack) - room, side="right")]
+            closes = some + int(np.argmax(closing)) if len(closing) else some
             if room <= CLOSING * capacity:
-                best = closing[np.argmax(scores[closing])] if len(closing) else fits[np.argmin(left)]
+                best = closes
             else:
-                best = fits[np.argmax(scores[fits])]
-                rest = room - sizes[best]
-                if SLACK * capacity < rest <= CLOSING * capacity and len(closing) and not (unused & (sizes <= rest)).sum() > 1:
-                    best = closing[np.argmax(scores[closing])]
+                best = some + int(np.argmax(scores[some:]))
+                rest = room + int(falling[best])
+                if slack < rest <= CLOSING * capacity and len(closing) and np.count_nonzero(unused[np.searchsorted(falling, -rest) :]) <= 1:
+                    best = closes
             unused[best] = False
-            container.append(int(best))
-            room -= int(sizes[best])
+            scores[best] = -np.inf
+            container.append(int(live[best]))
+            room += int(falling[best])
+            left_over -= 1
         made.append(container)
     empty = np.flatnonzero(sizes == 0).tolist()
     if empty:
